@@ -11,6 +11,12 @@ from colsieve.llm.common import table
 SHARDS = 40
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colsieve.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colsieve.llm.warc import round_trip
 
@@ -50,6 +56,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
     "op5_quality_rules": op5_quality_rules,
