@@ -236,7 +236,7 @@ def confirmed_links(df: DataFrame, id_col: str, text_col: str, reps: DataFrame,
         out = [*(batch.column(c) for c in ("id", "region", "blocks", "block")), pa.array([s.tobytes() for s, _ in found], pa.binary())]
         return pa.RecordBatch.from_arrays(out, ["id", "region", "blocks", "block", "shingles"]).filter(own)
 
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("__text")).join(placed, "id")
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("__text")).join(placed.hint("merge"), "id")  # one plan at every size: members grow with the corpus
     sets = materialize(map_batches(texts, run, "id bigint, region bigint, blocks int, block int, shingles binary"), "sets")
     row = [F.lit(False).alias("old"), F.lit(0).cast("bigint").alias("known")]
     links = materialize(_confirm(sets.select("region", "block", "id", "shingles", *row)), "links")
