@@ -30,6 +30,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colsieve.llm.langid import identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colsieve.llm.rules import BASE, FULL, fails, ledger
 
@@ -49,20 +56,38 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from colsieve.llm.quality import grades_of, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, grades_of(table(spark, sf_dir, "labels"))))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from colsieve.llm.sharding import shard_by_bytes
 
     return shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from colsieve.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_warc": op2_warc,
     "op3_packing": op3_packing,
+    "op4_language_id": op4_language_id,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_bpe": op7_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
+    "op10_nearest": op10_nearest,
 }
 
 ORACLES: dict[str, str] = {
