@@ -43,5 +43,30 @@ def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def text_or_null(df: DataFrame, column: str = "text"):
-    return F.col(column).cast("string")
+def quoted(name: str):
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Carried:
+    """All columns of a table under names that clash with nothing, for a pass over its text that gives them back.
+
+    `df` has __c0, __c1, ... and __text; `schema` and `columns(batch)` describe them in a pass's output.
+    """
+
+    def __init__(self, df: DataFrame, text_col: str):
+        self._names, self._text = df.columns, text_col
+        self._rest = [(i, c) for i, c in enumerate(df.columns) if c != text_col]
+        types = [f.dataType.simpleString() for f in df.schema.fields]
+        self.df = df.select(*(quoted(c).alias(f"__c{i}") for i, c in self._rest), quoted(text_col).cast("string").alias("__text"))
+        self.schema = ", ".join([*(f"__c{i} {types[i]}" for i, _ in self._rest), "__text string"])
+        self.names = [*(f"__c{i}" for i, _ in self._rest), "__text"]
+
+    def of(self, column: str) -> str:
+        return "__text" if column == self._text else f"__c{self._names.index(column)}"
+
+    def columns(self, batch: pa.RecordBatch) -> list[pa.Array]:
+        return [batch.column(n) for n in self.names]
+
+    def restore(self, df: DataFrame, text: str = "__text") -> DataFrame:
+        return df.select(*((F.col(text) if c == self._text else F.col(f"__c{i}")).alias(c) for i, c in enumerate(self._names)))

@@ -36,7 +36,8 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt"],
 }
 BUCKETS = 1 << 12
-#: Most texts of each language that a fit reads.
+#: Most languages (the most frequent ones), and most texts of each, that a fit reads.
+MAX_LANGUAGES = 200
 SAMPLE_PER_LANGUAGE = 500
 _LETTER = re.compile(r"[^\W\d_]")
 _LOW = np.arange(256, dtype=np.uint8)
@@ -151,9 +152,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on labelled rows that aren't held out; their number is bounded by per_language for each language."""
     prepare(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("rows"))
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
     # A hash thins each language to about per_language rows before any are ranked, so no large group is sorted.
-    drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(id_col, F.lit("lang")).alias("h")).join(F.broadcast(counts.withColumnRenamed(lang_col, "lang")), "lang")
+    drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(id_col, F.lit("lang")).alias("h")).join(F.broadcast(counts), "lang")
     drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) * F.col("rows") < F.lit(2 * per_language) * (1 << 20))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language).select("lang", "h", "__text")
 

@@ -276,3 +276,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return made.select("id", "n", "mark").join(of_class, "mark", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.col("root").cast(id_type), F.col("id")).alias("component_id"), F.coalesce(F.coalesce(F.col("root").cast(id_type), F.col("id")) == F.col("id"), F.lit(True)).alias("kept")
     )
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component: that with the smallest id. Of rows that repeat an id and its text one stays."""
+    found = materialize(near_duplicates(df, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", "n_shingles"), "near")
+    dropped = found.filter("NOT kept").select("__id").distinct()
+    kept = df.join(dropped, df[id_col] == dropped["__id"], "left_anti")
+    repeated = found.filter("n_shingles > 0 AND __id IS NOT NULL").groupBy("__id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col, text_col])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import _Memo
-from colsieve.llm.common import map_batches, prepare, utf8
+from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
 
 BUCKETS = 1 << 18
 #: Most rated texts that a fit reads.
@@ -133,7 +133,8 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
     parts = 1 << 20
     cut = parts if rated <= 0.9 * sample_rows else int(0.9 * sample_rows / rated * parts)
     drawn = ratings.filter(F.pmod(F.xxhash64(id_col, F.lit("rated")), F.lit(parts)) < cut)
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(drawn, id_col).select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"), "__text")
+    # drawn has about 0.9 * sample_rows rows of (id, grade), however many are rated
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__text")).join(F.broadcast(drawn), id_col).select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"), "__text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([np.sort(features(raw)).tobytes() for raw in utf8(batch, "__text")], pa.binary())], ["id", "grade", "buckets"])
@@ -144,14 +145,10 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
     return fit_ordinal([np.frombuffer(r["buckets"], np.int32) for r in sample], np.array([r["grade"] for r in sample], int), n_grades)
 
 
-def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_tail: float = KEEP_TAIL, carry: list[str] | None = None) -> DataFrame:
-    """Per row: id, carried columns, score, expected_grade, tail_prob, kept. A narrow pass."""
-    spark = df.sparkSession
-    prepare(spark)
-    carry = [id_col, *(carry or [])]
+def _scored(rows: DataFrame, names: list[str], schema: str, model: OrdinalModel) -> DataFrame:
+    """rows with __text: the named columns, score, expected_grade, tail_prob. A narrow pass."""
     used = np.flatnonzero(model.weights)
-    shared = spark.sparkContext.broadcast((used, model.weights[used], model.thresholds))  # at most BUCKETS weights
-    schema = ", ".join([*(f"`__carry{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)), "score double", "expected_grade double", "tail_prob double", "kept boolean"])
+    shared = rows.sparkSession.sparkContext.broadcast((used, model.weights[used], model.thresholds))  # at most BUCKETS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets, values, thresholds = shared.value
@@ -163,8 +160,21 @@ def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col:
                 continue
             s = np.array([own.score(features(raw)) for raw in utf8(batch, "__text")])
             tails = own.tails(s)
-            out = [batch.column(f"__carry{i}") for i in range(len(carry))] + [pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= keep_tail)]
-            yield pa.RecordBatch.from_arrays(out, [*(f"__carry{i}" for i in range(len(carry))), "score", "expected_grade", "tail_prob", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, "score", "expected_grade", "tail_prob"])
 
-    made = df.select(*(F.col(c).alias(f"__carry{i}") for i, c in enumerate(carry)), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
-    return made.select(*(F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)), "score", "expected_grade", "tail_prob", "kept")
+    return rows.mapInArrow(run, f"{schema}, score double, expected_grade double, tail_prob double")
+
+
+def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """Per row: id, score, expected_grade, tail_prob, kept."""
+    prepare(df.sparkSession)
+    rows = df.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__text"))
+    made = _scored(rows, ["__id"], f"__id {df.schema[id_col].dataType.simpleString()}", model)
+    return made.withColumn("kept", F.col("tail_prob") >= keep_tail).withColumnRenamed("__id", id_col)
+
+
+def accepted(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:
+    """The rows, with all their columns, whose tail probability is at least keep_tail."""
+    prepare(df.sparkSession)
+    carried = Carried(df, text_col)
+    return carried.restore(_scored(carried.df, carried.names, carried.schema, model).filter(F.col("tail_prob") >= keep_tail))

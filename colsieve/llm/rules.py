@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.common import map_batches, prepare, utf8
+from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -105,22 +105,39 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
     )
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row: id, MEASURES, failed_bits, and the columns named in carry. A narrow pass, no shuffle."""
+def failure_bits() -> Column:
+    """The bits of all rules from the measurements."""
+    bits = F.lit(0)
+    for r in RULES:
+        bits = bits + F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0))
+    return bits.cast("bigint")
+
+
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, MEASURES, failed_bits. A narrow pass, no shuffle."""
+    prepare(df.sparkSession)
+    schema = ", ".join([f"__id {df.schema[id_col].dataType.simpleString()}", *(f"{m} bigint" for m in MEASURES)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [measure(raw) for raw in utf8(batch, "__text")]
+        return pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES)))], ["__id", *MEASURES])
+
+    measured = map_batches(df.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__text")), run, schema)
+    return measured.withColumn("failed_bits", failure_bits()).withColumnRenamed("__id", id_col)
+
+
+def passing(df: DataFrame, policy: Policy, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that pass the policy."""
     prepare(df.sparkSession)
-    carry = carry or []
-    kept = [(id_col, "__id"), *((c, f"__carry{i}") for i, c in enumerate(carry))]
-    schema = ", ".join([*(f"`{alias}` {df.schema[c].dataType.simpleString()}" for c, alias in kept), *(f"{m} bigint" for m in MEASURES)])
+    carried = Carried(df, text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [measure(raw) for raw in utf8(batch, "__text")]
-        columns = [batch.column(alias) for _, alias in kept] + [pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES))]
-        return pa.RecordBatch.from_arrays(columns, [alias for _, alias in kept] + MEASURES)
+        return pa.RecordBatch.from_arrays([*carried_columns(batch), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES)))], [*names, *MEASURES])
 
-    measured = map_batches(df.select(*(F.col(c).alias(alias) for c, alias in kept), F.col(text_col).cast("string").alias("__text")), run, schema)
-    bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES[1:]), F.when(F.expr(RULES[0].fails), F.lit(1 << RULES[0].bit)).otherwise(F.lit(0)))
-    with_bits = measured.withColumn("failed_bits", bits.cast("bigint"))
-    return with_bits.select(F.col("__id").alias(id_col), *(F.col(alias).alias(c) for c, alias in kept[1:]), *MEASURES, "failed_bits")
+    names, carried_columns = carried.names, lambda batch: [batch.column(n) for n in names]
+    measured = map_batches(carried.df, run, ", ".join([carried.schema, *(f"{m} bigint" for m in MEASURES)]))
+    return carried.restore(measured.withColumn("failed_bits", failure_bits()).filter(~fails(policy)))
 
 
 def fails(policy: Policy) -> Column:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.common import map_batches, prepare, utf8
+from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
 from colsieve.session import materialize
 
 LENGTH = 400
@@ -220,29 +220,18 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, window: int = WINDOW
     return whole.unionByName(_local_repeats(small, length)).unionByName(_counted_repeats(bits.filter("large"), length))
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
-    """Rows keyed by (id, checksum of the text), with null ids keyed below all others."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("row"), F.xxhash64(text).alias("tag"), text.alias("__text"), *(F.col(c).alias(f"__carry{i}") for i, c in enumerate(carry)))
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, group_rows: int = GROUP_ROWS, with_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with with_text also spans (start, end) and kept_text.
 
     kept_text is cut at whole characters: a character that is only partly covered stays.
     """
-    prepare(df.sparkSession)
-    carry = [id_col, *(carry or [])]
-    keyed = _keyed(df, id_col, text_col, carry)
-    ranges = repeated_ranges(keyed.select("row", "tag", "__text"), length, window, group_rows)
-    listed = ranges.groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    ids = [f"`__carry{i}` {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
-    schema = ", ".join([*ids, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"] + (["spans array<struct<start:int,end:int>>, kept_text string"] if with_text else []))
+    rows = df.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
+    schema = f"__id {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<start:int,end:int>>, kept_text string" if with_text else "")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, removed, runs, marks, spans_out, texts = [], [], [], [], [], []
         for raw, found in zip(utf8(batch, "__text"), batch.column("ranges").to_pylist(), strict=True):
-            spans = merged([(r["first"], r["last"] + length) for r in found or []])
+            raw, spans = raw or b"", spans_of(found, length)
             kept = without(raw, spans)
             total.append(len(raw))
             removed.append(len(raw) - len(kept))
@@ -250,16 +239,46 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             marks.append(hashlib.sha256(kept).hexdigest())
             if with_text:
                 spans_out.append([{"start": a, "end": b} for a, b in spans])
-                texts.append(without(raw, [whole_characters(raw, a, b) for a, b in spans]).decode())
-        out = [batch.column(f"__carry{i}") for i in range(len(carry))] + [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(marks)]
-        names = [f"__carry{i}" for i in range(len(carry))] + ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                texts.append(kept_text(raw, spans))
+        out = [batch.column("__id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(marks)]
+        names = ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_text:
             out += [pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())]
             names += ["spans", "kept_text"]
         return pa.RecordBatch.from_arrays(out, names)
 
-    made = map_batches(keyed.join(listed, ["row", "tag"], "left").drop("row", "tag"), run, schema)
-    return made.select(*(F.col(f"__carry{i}").alias(c) for i, c in enumerate(carry)), *[c for c in made.columns if not c.startswith("__carry")])
+    return map_batches(_with_ranges(rows, "__id", length, window, group_rows), run, schema).withColumnRenamed("__id", id_col)
+
+
+def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
+    """All rows and columns, each text without its repeated strings (at whole characters); length_col gets its new number of characters."""
+    carried = Carried(df, text_col)
+    names = carried.names
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [None if raw is None else kept_text(raw, spans_of(found, length)) for raw, found in zip(utf8(batch, "__text"), batch.column("ranges").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(texts, pa.string())], names)
+
+    made = carried.restore(map_batches(_with_ranges(carried.df, carried.of(id_col), length, window, GROUP_ROWS), run, carried.schema))
+    return made.withColumn(length_col, F.length(text_col).cast(df.schema[length_col].dataType)) if length_col in df.columns else made
+
+
+def _with_ranges(rows: DataFrame, id_col: str, length: int, window: int, group_rows: int) -> DataFrame:
+    """rows (with __text) and the list of ranges of their repeated starts."""
+    prepare(rows.sparkSession)
+    # Rows are keyed by id and checksum of the text; null ids are keyed below all others.
+    keyed = rows.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("row"), F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit(""))).alias("tag"))
+    ranges = repeated_ranges(keyed.select("row", "tag", F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("__text")), length, window, group_rows)
+    listed = ranges.distinct().groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return keyed.join(listed, ["row", "tag"], "left").drop("row", "tag")
+
+
+def spans_of(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    return merged([(r["first"], r["last"] + length) for r in ranges or []])
+
+
+def kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    return without(raw, [whole_characters(raw, a, b) for a, b in spans]).decode()
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
