@@ -13,30 +13,30 @@ from pyspark.sql import functions as F
 
 FROBENIUS, SPECTRAL = "frobenius", "spectral"
 
-_REMOVAL = "(k - m + 1.0) / (n - m + 1.0)"
-_ADDED = "k * 1.0 / (m * (n - m + 1.0))"
-_BARRIER = "CASE WHEN m = 1 THEN k * 1.0 / n ELSE pow((k - sqrt((k - 1.0) * m + 1)) / (sqrt((k - 1.0) * m + 1) - 1), 2) * m / n END"
-_DUAL = "CASE WHEN k > m THEN pow((sqrt(k + 1.0) - sqrt(m * 1.0)) / (sqrt(n * 1.0) + sqrt(k + 1.0)), 2) ELSE NULL END"
-_INTERLACED = "CASE WHEN k = n THEN 1.0 ELSE pow((sqrt((k + 1.0) * (n - m)) - sqrt(m * (n - k - 1.0))) / n, 2) END"
+_REMOVAL = "(k - m + 1e0) / (n - m + 1e0)"
+_ADDED = "k * 1e0 / (m * (n - m + 1e0))"
+_BARRIER = "CASE WHEN m = 1 THEN k * 1e0 / n ELSE pow((k - sqrt((k - 1e0) * m + 1)) / (sqrt((k - 1e0) * m + 1) - 1), 2) * m / n END"
+_DUAL = "CASE WHEN k > m THEN pow((sqrt(k + 1e0) - sqrt(m * 1e0)) / (sqrt(n * 1e0) + sqrt(k + 1e0)), 2) ELSE NULL END"
+_INTERLACED = "CASE WHEN k = n THEN 1e0 ELSE pow((sqrt((k + 1e0) * (n - m)) - sqrt(m * (n - k - 1e0))) / n, 2) END"
 
 
 def _exchange(k: str) -> tuple[str, str]:
-    excess = f"((m + (c - 1.0) * {k}) * (n - {k}) / ({k} - m + 1.0))"
-    return f"m / (m + {excess})", f"1.0 / (1.0 + {excess})"
+    excess = f"((m + (c - 1e0) * {k}) * (n - {k}) / ({k} - m + 1e0))"
+    return f"m / (m + {excess})", f"1e0 / (1e0 + {excess})"
 
 
 def _expressions() -> dict[tuple[str, str], str]:
     swap_f, swap_s = _exchange("k")
     start_f, start_s = _exchange("m")
     table = {
-        "random columns": ("0.0", "0.0"),
-        "leverage scores": ("0.0", "0.0"),
-        "forward iterative volume sampling": ("0.0", "0.0"),
-        "reverse iterative volume sampling": ("0.0", "0.0"),
-        "volume removal": ("0.0", "0.0"),
-        "derandomized volume": ("0.0", "0.0"),
+        "random columns": ("0e0", "0e0"),
+        "leverage scores": ("0e0", "0e0"),
+        "forward iterative volume sampling": ("0e0", "0e0"),
+        "reverse iterative volume sampling": ("0e0", "0e0"),
+        "volume removal": ("0e0", "0e0"),
+        "derandomized volume": ("0e0", "0e0"),
         "frobenius removal": (_REMOVAL, f"{_REMOVAL} / m"),
-        "spectral removal": (f"{_REMOVAL} / m", "1.0 / (1.0 + m * (n - k) / (k - m + 1.0))"),
+        "spectral removal": (f"{_REMOVAL} / m", "1e0 / (1e0 + m * (n - k) / (k - m + 1e0))"),
         "frobenius selection": (_ADDED, f"{_ADDED} / m"),
         "spectral selection": (_BARRIER, _BARRIER),
         "dual set": (_DUAL, _DUAL),
@@ -55,7 +55,7 @@ def bound_sql(selector: str, norm: str, c: float = 1.0) -> str:
     """The bound as SQL over columns m, n, k."""
     if (selector, norm) not in EXPRESSIONS:
         raise ValueError(f"no such selector or norm: {selector!r}, {norm!r}")
-    return EXPRESSIONS[selector, norm].replace("(c - 1.0)", f"({float(c)!r} - 1.0)")
+    return EXPRESSIONS[selector, norm].replace("(c - 1e0)", f"({float(c)!r}e0 - 1e0)")
 
 
 def bound(selector: str, norm: str, c: float = 1.0) -> Column:

@@ -87,7 +87,7 @@ def run_experiment(spark: SparkSession, experiment: Experiment) -> DataFrame:
     if "y" not in columns.columns:
         columns = columns.withColumn("y", F.lit(None).cast("double"))
     matrices = columns.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("col_id", "vec", "y"))).alias("columns"))  # a matrix fits a task by contract
-    grid = matrices.select("trial", "columns", F.explode(F.array(*map(F.lit, experiment.k_values))).cast("bigint").alias("k"))
+    grid = matrices.select("trial", "columns", F.explode(F.array(*map(F.lit, experiment.k_values)).cast("array<bigint>")).alias("k"))
     name, algorithms = experiment.name, experiment.algorithms
 
     def run(batches):  # noqa: ANN001, ANN202
