@@ -60,8 +60,8 @@ class CapacityTree:
 def plan_best_fit(lengths: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, first_rank, count, first_bin, offset): that run of equal pieces goes one each to that run of bins.
 
-    Bins with the same contents so far form runs of neighbouring numbers. Each length opens at most one
-    new run and splits at most one, so there are at most 2 * capacity runs whatever the corpus.
+    Bins with the same contents so far form runs of neighbouring numbers. Each length opens at most two
+    new runs and splits at most two, so there are at most 4 * capacity runs whatever the corpus.
     """
     tree = CapacityTree(capacity)
     runs: dict[int, list[tuple[int, int]]] = {}
@@ -69,6 +69,8 @@ def plan_best_fit(lengths: dict[int, int], capacity: int) -> np.ndarray:
     bins = 0
 
     def put(remaining: int, first: int, count: int) -> None:
+        if not count:
+            return
         runs.setdefault(remaining, []).append((first, count))
         tree.add(remaining, count)
 
@@ -77,24 +79,23 @@ def plan_best_fit(lengths: dict[int, int], capacity: int) -> np.ndarray:
         while left:
             remaining = tree.tightest(length)
             if remaining is None:
-                per_bin = capacity // length  # equal pieces: each new bin is filled before the next is opened
-                full, rest = divmod(left, per_bin)
-                for first, count, each in ((bins, full, per_bin), (bins + full, min(rest, 1), rest)):
-                    for i in range(each if count else 0):
-                        plan.append((length, rank, count, first, i * length))
-                        rank += count
-                    if count:
-                        put(capacity - each * length, first, count)
-                bins += full + min(rest, 1)
-                break
-            first, count = runs[remaining].pop()
-            tree.add(remaining, -count)
-            take = min(count, left)
-            if take < count:
-                put(remaining, first + take, count - take)
-            plan.append((length, rank, take, first, capacity - remaining))
-            put(remaining - length, first, take)
-            rank, left = rank + take, left - take
+                remaining, first = capacity, bins
+                count = -(-left // (capacity // length))
+                bins += count
+            else:
+                first, count = runs[remaining].pop()
+                tree.add(remaining, -count)
+            each = remaining // length  # a bin that takes one of equal pieces is the tightest for the next
+            used = min(count, -(-left // each))
+            full = min(used, left // each)
+            put(remaining, first + used, count - used)
+            for start, bins_here, pieces_here in ((first, full, each), (first + full, used - full, left - full * each)):
+                if bins_here:
+                    for i in range(pieces_here):
+                        plan.append((length, rank, bins_here, start, capacity - remaining + i * length))
+                        rank += bins_here
+                    put(remaining - pieces_here * length, start, bins_here)
+            left = lengths[length] - rank
     return np.array(plan, dtype=np.int64).reshape(-1, 5)
 
 
