@@ -133,4 +133,20 @@ ORACLES: dict[str, str] = {
                failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits
         FROM b
     """,
+    "op6_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, sh FROM (
+                SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                                           WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+        n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 75 * (nx.c + ny.c - i)),
+        l AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e UNION ALL SELECT doc_id, doc_id FROM documents),
+        r AS (SELECT x AS doc_id, y AS reach FROM l UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.reach = l.x)
+        SELECT r.doc_id, CAST(coalesce(min(n.c), 0) AS BIGINT) AS n_shingles, min(reach) AS component_id, min(reach) = r.doc_id AS kept
+        FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
 }
