@@ -492,6 +492,32 @@ def compress_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tt.to_dense(tt.train_table(spark, cores), [3, 4, 2]).withColumn("v", F.round("v", 6))
 
 
+@query("tt_left_orthogonalize", ORACLES["tt_cross"])
+def left_orthogonal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = tt.left_orthogonalize(tt.collect_cores(tt.train_table(spark, example_train())))
+    return tt.to_dense(tt.train_table(spark, cores), [3, 4, 2]).withColumn("v", F.round("v", 6))
+
+
+@query("tt_right_orthogonalize", ORACLES["tt_cross"])
+def right_orthogonal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cores = tt.right_orthogonalize(tt.collect_cores(tt.train_table(spark, example_train())))
+    return tt.to_dense(tt.train_table(spark, cores), [3, 4, 2]).withColumn("v", F.round("v", 6))
+
+
+@query("tt_at_fibers", f"WITH d AS ({ORACLES['tt_to_dense']}) SELECT p AS left_node, i AS mode, q AS right_node, round(v, 6) AS v FROM (VALUES (CAST(0 AS BIGINT), 0), (1, 2)) AS l(p, m0), range(4) AS y(i), (VALUES (CAST(0 AS BIGINT), 0), (1, 1)) AS r(q, m2) JOIN d ON d.index = m0 + 3 * i + 12 * m2")
+def at_fibers_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle slab of a given skeleton."""
+    skeleton = tt.Skeleton([3, 4, 2], [[(0, -1), (2, -1)], [(1, 0), (3, 1)]], [[(0, 0), (2, 1)], [(0, -1), (1, -1)]])
+    slabs = tt.fibers_table(spark, tt.fibers_of(tt.collect_cores(tt.train_table(spark, example_train())), skeleton))
+    return slabs.filter("core = 1").select("left_node", "mode", "right_node", F.round("v", 6).alias("v"))
+
+
+@query("tt_absorb_right", f"WITH t AS ({_train_sql()}) SELECT CAST(a AS INTEGER) AS a, CAST(i AS INTEGER) AS i, CAST(p AS INTEGER) AS c, sum((p + 2 * c + 1) * v) AS v FROM t, range(2) AS r(p) WHERE core = 1 GROUP BY 1, 2, 3")
+def absorb_right_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    factor = spark.createDataFrame([(p, q, float(p + 2 * q + 1)) for p in range(2) for q in range(3)], "p int, q int, v double")
+    return tt.absorb_right(tt.train_table(spark, example_train()), 1, factor)
+
+
 @query("singular_values")
 def singular_values_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = prep.singular_values(customer_matrix(spark, sf_dir))
