@@ -243,21 +243,26 @@ def confirmed_links(df: DataFrame, id_col: str, text_col: str, reps: DataFrame,
     large = sets.filter("blocks > 1")
     if large.isEmpty():
         return links
-    # Large regions: one member of each block's components stands for it, and these are linked first.
-    local = connected_components(links.unionAll(large.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    named = large.join(local.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    heads = named.filter("id = root").select("region", F.expr(f"cast(pmod(xxhash64(id), greatest(1, blocks div 8)) as int)").alias("block"), "id", "shingles", *row)
-    links = materialize(links.unionAll(_confirm(heads)), "links")
-    labels = connected_components(links.unionAll(large.select(F.col("id").alias("a"), F.col("id").alias("b"))))
-    named = materialize(large.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "named")
+    # Large regions. Sets move only by id or by (region, block), so no task receives a region; what is joined by region is narrow.
+    held, places = large.select("id", "shingles"), large.select("id", "region", "blocks", "block")
+
+    def rooted() -> DataFrame:
+        labels = connected_components(links).withColumnRenamed("node", "id")
+        return materialize(places.join(labels, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+
+    # One member of each block's components stands for it, and these are linked first.
+    heads = rooted().filter("id = root").select("region", F.expr("cast(pmod(xxhash64(id), greatest(1, blocks div 8)) as int)").alias("block"), "id").join(held, "id")
+    links = materialize(links.unionAll(_confirm(heads.select("region", "block", "id", "shingles", *row))), "links")
+    named = rooted()
     sizes = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = sizes.groupBy("region").agg(F.max_by("root", F.struct("rows", "root")).alias("main"))
     rest = named.join(largest, "region").filter("root <> main")
     # Whatever is outside the largest component meets every block of its region, in slices of bounded size.
-    slices = rest.select("region", "blocks", "id", "shingles", F.col("root").alias("known"), F.expr("cast(pmod(xxhash64(id, 1), blocks) as int)").alias("slice"))
-    left = slices.select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), "slice", "id", "shingles", F.lit(True).alias("old"), "known", "blocks")
-    used = slices.select("region", "slice").distinct()
-    right = named.select("region", F.col("block").alias("b"), "id", "shingles", F.lit(False).alias("old"), F.col("root").alias("known"), "blocks").join(used, "region").select("region", "b", "slice", "id", "shingles", "old", "known", "blocks")
+    slices = materialize(rest.select("region", "blocks", "id", F.col("root").alias("known"), F.expr("cast(pmod(xxhash64(id, 1), blocks) as int)").alias("slice")), "slices")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
+    left = slices.join(held, "id").select("region", every, "slice", "id", "shingles", F.lit(True).alias("old"), "known", "blocks")
+    used = slices.select("region", "slice", "blocks").distinct().select("region", "slice", every)
+    right = named.withColumnRenamed("block", "b").join(used, ["region", "b"]).join(held, "id").select("region", "b", "slice", "id", "shingles", F.lit(False).alias("old"), F.col("root").alias("known"), "blocks")
     meet = left.unionByName(right).select("region", (F.col("b") * F.col("blocks") + F.col("slice")).alias("block"), "id", "shingles", "old", "known")
     return materialize(links.unionAll(_confirm(meet, bipartite=True)), "links")
 
