@@ -198,6 +198,8 @@ def _confirm(rows: DataFrame, bipartite: bool = False) -> DataFrame:
                 order = sorted(range(len(ids)), key=lambda k: not old[k])
                 ids, sets, known = [ids[k] for k in order], [sets[k] for k in order], [known[k] for k in order]
                 split = sum(old)
+                of: dict[int, int] = {}
+                known = [len(ids) + at if k is None else of.setdefault(k, len(of)) for at, k in enumerate(known)]  # null: connected to nothing yet
             a, b = _links(ids, sets, split, known if bipartite else None)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a], pa.int64()), pa.array([ids[k] for k in b], pa.int64())], ["a", "b"])
@@ -257,12 +259,14 @@ def confirmed_links(df: DataFrame, id_col: str, text_col: str, reps: DataFrame,
     sizes = named.groupBy("region", "root").agg(F.count(F.lit(1)).alias("rows"))
     largest = sizes.groupBy("region").agg(F.max_by("root", F.struct("rows", "root")).alias("main"))
     rest = named.join(largest, "region").filter("root <> main")
-    # Whatever is outside the largest component meets every block of its region, in slices of bounded size.
+    # Whatever is outside the largest component (often nothing) meets every block of its region, in slices of bounded size.
     slices = materialize(rest.select("region", "blocks", "id", F.col("root").alias("known"), F.expr("cast(pmod(xxhash64(id, 1), blocks) as int)").alias("slice")), "slices")
+    if slices.isEmpty():
+        return links
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")
     left = slices.join(held, "id").select("region", every, "slice", "id", "shingles", F.lit(True).alias("old"), "known", "blocks")
-    used = slices.select("region", "slice", "blocks").distinct().select("region", "slice", every)
-    right = named.withColumnRenamed("block", "b").join(used, ["region", "b"]).join(held, "id").select("region", "b", "slice", "id", "shingles", F.lit(False).alias("old"), F.col("root").alias("known"), "blocks")
+    used = slices.select("region", "slice", "blocks").distinct().select("region", "slice", "blocks", every)
+    right = large.withColumnRenamed("block", "b").join(used.drop("blocks"), ["region", "b"]).select("region", "b", "slice", "id", "shingles", F.lit(False).alias("old"), F.lit(None).cast("bigint").alias("known"), "blocks")
     meet = left.unionByName(right).select("region", (F.col("b") * F.col("blocks") + F.col("slice")).alias("block"), "id", "shingles", "old", "known")
     return materialize(links.unionAll(_confirm(meet, bipartite=True)), "links")
 
