@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from colsieve.llm.bpe import _Memo
 from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 21
 #: Most rated texts that a fit reads.
 SAMPLE_ROWS = 12_000
 #: A text is kept if its probability of the top grade is at least this.
