@@ -361,6 +361,22 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_radius_is_not_learned_from_copies_at_low_ids(spark):
+    x = np.random.default_rng(3).normal(size=(9000, 64))
+    x[:3000] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(df, (F.col("vec_id") >= 3000) & (F.col("vec_id") % 50 == 0)).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    found = 0
+    for q in range(3000, 9000, 50):
+        s = unit @ unit[q]
+        s[q] = -np.inf
+        found += len(got[q] & set(np.lexsort((np.arange(len(s)), -np.round(s, 12)))[:5].tolist()))
+    assert found / (5 * 120) >= 0.97
+
+
 def test_radius_search_is_exact():
     codes = np.random.default_rng(0).integers(0, 1 << 16, (300, 4), dtype=np.uint16)
     index = ann.BlockIndex(codes)
