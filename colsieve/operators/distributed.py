@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,6 +180,102 @@ def forward_volume(df: DataFrame, k: int, seed: int = 0, call: int = 0, trial: i
     return _result(q, "forward iterative volume sampling", k, chosen + [r["col_id"] for r in rest.collect()])
 
 
+def _rows(v: pa.Array) -> np.ndarray:
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1)
+
+
+def _batched(y: np.ndarray) -> Column:
+    """v^T Y v in Arrow batches, for the m x m of wide vectors."""
+
+    @F.arrow_udf("double")
+    def form(v: pa.Array) -> pa.Array:
+        x = _rows(v)
+        return pa.array(np.einsum("ij,ij->i", x @ y, x))
+
+    return form(_vec())
+
+
+def _exchange(solve: np.ndarray) -> Column:
+    """The largest squared coefficient of a column on those of a square, given its inverse, and where it is."""
+
+    @F.arrow_udf("struct<gain double, at int>")
+    def largest(v: pa.Array) -> pa.Array:
+        gain = (_rows(v) @ solve.T) ** 2
+        at = np.round(gain, 9).argmax(axis=1)
+        return pa.StructArray.from_arrays([pa.array(gain[np.arange(len(at)), at]), pa.array(at.astype(np.int32))], ["gain", "at"])
+
+    return largest(_vec())
+
+
+def dual_set(df: DataFrame, k: int, **_) -> DataFrame:
+    """One pick for each of k rounds. Columns without weight share the upper barrier's term; those with weight are scored on the driver."""
+    q, m, n = _prepared(df)
+    _checked(m, n, k)
+    if k <= m:
+        raise ValueError("dual set needs k > m")
+    if k == n:
+        return _result(q, "dual set", k, [r["col_id"] for r in q.select("col_id").orderBy("col_id").collect()])
+    step_u = (math.sqrt(n) + math.sqrt(k)) / (math.sqrt(k) - math.sqrt(m))
+    lower, upper = -math.sqrt(k * m), step_u * math.sqrt(k * n)
+    a, weights, vectors = np.zeros((m, m)), {}, {}
+    for _round in range(k):
+        values = np.linalg.eigvalsh(a)
+        g = np.linalg.inv(a - (lower + 1) * np.eye(m))
+        scale = (1 / (values - lower - 1)).sum() - (1 / (values - lower)).sum()
+        form = g @ g / scale - g
+        s = np.array([0.0, *weights.values()])
+        h, other = 1 / (upper + step_u - s), n - len(weights)
+        count = np.array([other, *[1] * len(weights)])
+        high = h + h**2 / ((count / (upper - s)).sum() - (count * h).sum())
+        i, v, ratio = _pick(_outside(q, list(weights)), _batched(form / high[0]))
+        scored = [((ratio - 1) * high[0], i, v, high[0])]
+        scored += [(float(vectors[c] @ form @ vectors[c]) - high[p], c, vectors[c], high[p]) for p, c in enumerate(weights, 1)]
+        top = max(x[0] for x in scored)
+        gain, i, v, cost = min((x for x in scored if x[0] >= top - 1e-9 * high[0]), key=lambda x: x[1])
+        weight = 2 / (gain + 2 * cost)
+        weights[i], vectors[i] = weights.get(i, 0.0) + weight, v
+        a += weight * np.outer(v, v)
+        lower, upper = lower + 1, upper + step_u
+    support = sorted(weights)
+    rest = _outside(q, support).select("col_id").orderBy("col_id").limit(k - len(support))
+    return _result(q, "dual set", k, support + [r["col_id"] for r in rest.collect()])
+
+
+def rect_maxvol(df: DataFrame, k: int, c: float = 1.0, **_) -> DataFrame:
+    """m pivots, exchanges within the square, then the largest leverage until there are k.
+
+    In a square every removal leaves no volume, so the gain of a pair is the squared coefficient of the new column
+    on the old one: the best pair is one pick over the columns' largest coefficients.
+    """
+    if c < 1:
+        raise ValueError("c must be at least 1")
+    q, m, n = _prepared(df)
+    _checked(m, n, k)
+    if k == n:
+        return _result(q, "rect-maxvol", k, [r["col_id"] for r in q.select("col_id").orderBy("col_id").collect()])
+    left, chosen, vectors = np.eye(m), [], []
+    for _step in range(m):
+        i, v, _s = _pick(_outside(q, chosen), _batched(left * n))
+        r = left @ v
+        left = left - np.outer(r, r) / float(r @ r)
+        chosen.append(i)
+        vectors.append(v)
+    cap, swaps = math.inf if c == 1 else math.ceil(2 * m * math.log(m) / math.log(c)), 0
+    while swaps < cap:
+        inside = sorted(range(m), key=lambda p: chosen[p])
+        solve = np.linalg.inv(np.array([vectors[p] for p in inside]).T)
+        scored = _outside(q, chosen).select("col_id", "vec", _exchange(solve).alias("e"))
+        first = F.struct(F.round("e.gain", 9).alias("gain"), (-F.col("e.at")).alias("at"), (-F.col("col_id")).alias("i"))
+        found = scored.agg(F.max_by(F.struct("col_id", "vec", "e"), first).alias("r")).first()["r"]
+        if found["e"]["gain"] <= c * (1 + 1e-10):
+            break
+        p = inside[found["e"]["at"]]
+        chosen[p], vectors[p] = found["col_id"], np.array(found["vec"])
+        swaps += 1
+    x = np.array(vectors).T
+    return _result(q, "rect-maxvol", k, _grown(q, chosen, np.linalg.inv(x @ x.T), k, _batched)[0])
+
+
 _FORMS: dict[str, Callable[..., DataFrame]] = {
     "random columns": random_columns,
     "leverage scores": leverage_scores,
@@ -186,10 +283,12 @@ _FORMS: dict[str, Callable[..., DataFrame]] = {
     "frobenius selection": frobenius_selection,
     "volume add-remove": volume_add_remove,
     "greedy volume": greedy_volume,
+    "dual set": dual_set,
+    "rect-maxvol": rect_maxvol,
 }
 
 
 def distributed_selector(name: str) -> Callable[..., DataFrame]:
     if name not in _FORMS:
-        raise ValueError(f"{name!r} has no distributed form; it needs one pass over all columns for each of n - k removals or a pair scan, so use volume add-remove (same guarantee as dominant) or a sample")
+        raise ValueError(f"{name!r} has no distributed form; those with one are {', '.join(sorted(_FORMS))}: use one of them (volume add-remove has the guarantee of dominant) or a sample")
     return _FORMS[name]

@@ -145,6 +145,18 @@ def test_distributed_forms_agree_with_kernels(spark):
         select_subset(df, 6, "volume removal", path="distributed")
 
 
+def test_selectors_of_the_barrier_and_maxvol_run_beyond_the_kernel_limit(spark, monkeypatch):
+    from colsieve.operators import registry
+
+    x = np.random.default_rng(9).normal(size=(4, 60))
+    x[:, 30:40] = 20 * x[:, :10]
+    df = as_frame(spark, x)
+    monkeypatch.setattr(registry, "KERNEL_DOUBLES", 100)
+    for name in ("dual set", "rect-maxvol"):
+        for k in (7, 60):
+            assert [r["col_id"] for r in select_subset(df, k, name).orderBy("rank").collect()] == run_kernel(name, x, k)[0], (name, k)
+
+
 def test_many_matrices_and_user_selectors(spark):
     register_selector("test last", lambda x, k, ids, **_: list(range(x.shape[1] - k, x.shape[1])))
     assert not register_selector("test last", lambda *_: [])
