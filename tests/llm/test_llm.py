@@ -385,6 +385,19 @@ def test_radius_search_is_exact():
         assert (index.within(codes[:20], radius) == (want <= radius)).all()
 
 
+def test_only_codes_of_probed_buckets_are_compared(monkeypatch):
+    codes = np.random.default_rng(1).integers(0, 1 << 16, (500, 6), dtype=np.uint16)
+    index = ann.BlockIndex(codes)
+    index = ann.BlockIndex.unpack(codes.tobytes(), index.pack(), 500)
+    seen = []
+    own = index.distances
+    monkeypatch.setattr(index, "distances", lambda queries, q, c: seen.append(len(c)) or own(queries, q, c))
+    want = np.array([[sum(int(a ^ b).bit_count() for a, b in zip(p, q, strict=True)) for q in codes] for p in codes[:20]])
+    for radius in (0, 10, 17, 40):
+        assert (index.within(codes[:20], radius) == (want <= radius)).all()
+    assert seen[0] == 20 and seen[1] < 2000 and seen == sorted(seen)
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 
