@@ -143,7 +143,7 @@ def open_bundle(uri: str) -> BundleReader:
 
 
 def revisits(df: DataFrame, id_col: str, payload_col: str, least: int = REVISIT_LEAST) -> DataFrame:
-    """(id, refers_to) of rows that repeat an earlier payload. Only ids and digests are shuffled.
+    """(id, __digest, refers_to) of payloads that repeat an earlier row's. Only ids and digests are shuffled.
 
     Digest groups are reduced by partial aggregates first; a hot digest is left to the skew join.
     """
@@ -151,7 +151,7 @@ def revisits(df: DataFrame, id_col: str, payload_col: str, least: int = REVISIT_
     narrow = df.select(F.col(id_col), F.sha2(payload.cast("binary"), 256).alias("__digest"), F.octet_length(payload).alias("__n"))
     narrow = narrow.filter((F.col("__n") >= least) & F.col(id_col).isNotNull()).drop("__n")
     first = narrow.groupBy("__digest").agg(F.min(id_col).alias("refers_to"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").drop("__rows")
-    return narrow.join(first, "__digest").filter(F.col(id_col) != F.col("refers_to")).select(id_col, "refers_to").distinct()
+    return narrow.join(first, "__digest").filter(F.col(id_col) != F.col("refers_to")).select(id_col, "__digest", "refers_to").distinct()
 
 
 def write_archives(df: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "2024-01-01T00:00:00Z", bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
@@ -162,8 +162,9 @@ def write_archives(df: DataFrame, uri: str, id_col: str = "page_id", url_col: st
     prepare(df.sparkSession)
     late = revisits(df, id_col, payload_col)
     rows = df.select(F.col(id_col), F.col(url_col).cast("string").alias("__url"), F.col(payload_col).cast("string").alias("__payload"))
-    joined = rows.join(late, id_col, "left").select(F.col(id_col).cast("string").alias("rid"), F.col("__url").alias("url"), F.when(F.col("refers_to").isNull(), F.col("__payload")).alias("payload"),
-        F.sha2(F.coalesce("__payload", F.lit("")).cast("binary"), 256).alias("digest"), F.coalesce(F.octet_length("__payload"), F.lit(0)).cast("bigint").alias("size"), F.col("refers_to").cast("string").alias("refers"))
+    rows = rows.withColumn("__digest", F.sha2(F.coalesce("__payload", F.lit("")).cast("binary"), 256))
+    joined = rows.join(late, [id_col, "__digest"], "left").select(F.col(id_col).cast("string").alias("rid"), F.col("__url").alias("url"), F.when(F.col("refers_to").isNull(), F.col("__payload")).alias("payload"),
+        F.col("__digest").alias("digest"), F.coalesce(F.octet_length("__payload"), F.lit(0)).cast("bigint").alias("size"), F.col("refers_to").cast("string").alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(uri)

@@ -100,6 +100,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_of_an_id_on_several_payloads(spark):
+    a, b, own, short = "a" * 200, "b" * 200, "c" * 200, "d" * 9
+    pages = [(1, "u", a), (2, "u", b), (7, "u", a), (7, "u", b), (7, "u", own), (7, "u", short)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    manifest = warc.write_archives(df, shared_dir(spark, "warc-test"))
+    got = [(r["record_id"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"]).decode()) for r in warc.read_archives(manifest, with_payload=True).collect()]
+    refers = {(7, a): "1", (7, b): "2"}
+    want = [(str(i), hashlib.sha256(h.encode()).hexdigest(), "revisit" if (i, h) in refers else "response", refers.get((i, h)), "" if (i, h) in refers else h) for i, _, h in pages]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
