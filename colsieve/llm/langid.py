@@ -5,7 +5,8 @@ separate the related languages, whose votes (then margins) decide. All machines
 frequencies of hashed character n-grams of the whole text, so scoring is one weighted mean over its n-grams.
 
 Families come from a fixed table of ISO 639 codes; a code that it doesn't hold is its own family. Machines
-are fitted on the driver from at most SAMPLE_PER_LANGUAGE texts of each language (hashed features only),
+are fitted on the driver from at most SAMPLE_PER_LANGUAGE texts of each language (hashed features only), fewer where
+there are so many languages that all would be more than MAX_TEXTS. Every labelled language is learned. Texts are
 drawn by a hash from all labelled rows that aren't held out. Labels are read for fitting alone. Texts that are null
 or hold no letter are `und` with score 0; without any labelled row every text is `und`.
 """
@@ -36,8 +37,8 @@ FAMILIES = {
     "semitic": ["ar", "he", "mt"],
 }
 BUCKETS = 1 << 12
-#: Most languages (the most frequent ones), and most texts of each, that a fit reads.
-MAX_LANGUAGES = 200
+#: Most texts that a fit reads, of all languages and of each.
+MAX_TEXTS = 12_000
 SAMPLE_PER_LANGUAGE = 500
 _LETTER = re.compile(r"[^\W\d_]")
 _LOW = np.arange(256, dtype=np.uint8)
@@ -149,13 +150,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fit on labelled rows that aren't held out; their number is bounded by per_language for each language."""
+    """Fit on labelled rows that aren't held out; their number is bounded by per_language for each language and MAX_TEXTS for all."""
     prepare(docs.sparkSession)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES)
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("rows")).limit(MAX_TEXTS + 1).collect()
+    if len(counts) > MAX_TEXTS:
+        raise ValueError(f"more than {MAX_TEXTS} languages")
+    per_language = min(per_language, MAX_TEXTS // max(1, len(counts)))
+    counts = docs.sparkSession.createDataFrame(counts, "lang string, rows bigint")
     # A hash thins each language to about per_language rows before any are ranked, so no large group is sorted.
     drawn = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("__text"), F.xxhash64(id_col, F.lit("lang")).alias("h")).join(F.broadcast(counts), "lang")
-    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) * F.col("rows") < F.lit(2 * per_language) * (1 << 20))
+    drawn = drawn.filter(F.pmod("h", F.lit(1 << 20)) * F.col("rows") < F.lit(max(100, 2 * per_language)) * (1 << 20))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= per_language).select("lang", "h", "__text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,7 +169,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     rows = sorted(map_batches(ranked, run, "lang string, h bigint, x binary").collect(), key=lambda r: (r["lang"], r["h"]))
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], dtype=np.float32).reshape(len(rows), BUCKETS)
-    return fit(x, [r["lang"] for r in rows])
+    langs = [r["lang"] for r in rows]
+    del rows
+    return fit(x, langs)
 
 
 def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -180,6 +180,20 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, none).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "fit", lambda x, langs: Counter(langs))
+    rows = [(i, f"text {i}", f"x{i % 230:03d}") for i in range(230 * 30)] + [(i, "rare", "zz") for i in range(10_000, 10_010)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    names = {r[2] for r in rows}
+    assert set(langid.train(df)) == names
+    monkeypatch.setattr(langid, "MAX_TEXTS", 500)
+    few = langid.train(df)
+    assert set(few) == names and sum(few.values()) <= 500
+    monkeypatch.setattr(langid, "MAX_TEXTS", 100)
+    with pytest.raises(ValueError):
+        langid.train(df)
+
+
 # --- 5 ------------------------------------------------------------------------------------------
 
 
