@@ -73,9 +73,15 @@ def nation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUSTOMER_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
+#: Most levels of a category that become indicators.
+MAX_LEVELS = 1_000
+
+
 def customer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    levels = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(50).collect()]
+    levels = [r[0] for r in c.select("c_mktsegment").distinct().orderBy("c_mktsegment").limit(MAX_LEVELS + 1).collect()]
+    if len(levels) > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels of c_mktsegment")
     return prep.features(c, "c_custkey", "c_mktsegment", levels, ["c_acctbal"])
 
 

@@ -163,3 +163,15 @@ def test_streamed_gram(spark, tmp_path):
     for r in current_gram(spark.read.parquet(str(tmp_path / "gram"))).collect():
         g[r["i"], r["j"]] = r["v"]
     assert np.allclose(g, x @ x.T)
+
+
+def test_every_level_of_a_category_has_its_indicator(spark, tmp_path, monkeypatch):
+    from colsieve.plans import queries
+
+    rows = [(i, f"S{i % 60:02d}", float(i * i % 17)) for i in range(300)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    x = {r["col_id"]: r["vec"] for r in queries.customer_matrix(spark, str(tmp_path)).collect()}
+    assert all(x[i][:59] == [float(i % 60 == level) for level in range(1, 60)] and len(x[i]) == 61 for i, _, _ in rows)
+    monkeypatch.setattr(queries, "MAX_LEVELS", 59)
+    with pytest.raises(ValueError):
+        queries.customer_matrix(spark, str(tmp_path))
