@@ -175,3 +175,18 @@ def test_every_level_of_a_category_has_its_indicator(spark, tmp_path, monkeypatc
     monkeypatch.setattr(queries, "MAX_LEVELS", 59)
     with pytest.raises(ValueError):
         queries.customer_matrix(spark, str(tmp_path))
+
+
+def test_norms_and_regression_on_all_order_features(spark):
+    from colsieve.plans.queries import orders_matrix
+
+    df = orders_matrix(spark, "/root/testdata/sf0.001")
+    rows = df.collect()
+    x, y = np.array([r["vec"] for r in rows], float).T, np.array([r["y"] for r in rows], float)
+    s = np.linalg.svd(x, compute_uv=False)
+    assert len(s) == 3
+    n = linalg.pinv_norms(df)
+    assert n["frobenius"] == pytest.approx(np.sqrt((1 / s**2).sum()), rel=1e-8) and n["spectral"] == pytest.approx(1 / s[-1], rel=1e-8)
+    pick = np.array([r["col_id"] % 7 == 0 for r in rows])
+    w = np.linalg.lstsq(x[:, pick].T, y[pick], rcond=None)[0]
+    assert metrics.selection_metrics(df, df.filter("col_id % 7 = 0"), "y")["regression_mse"] == pytest.approx(((w @ x - y) ** 2).mean(), rel=1e-6)
