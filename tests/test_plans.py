@@ -190,3 +190,11 @@ def test_norms_and_regression_on_all_order_features(spark):
     pick = np.array([r["col_id"] % 7 == 0 for r in rows])
     w = np.linalg.lstsq(x[:, pick].T, y[pick], rcond=None)[0]
     assert metrics.selection_metrics(df, df.filter("col_id % 7 = 0"), "y")["regression_mse"] == pytest.approx(((w @ x - y) ** 2).mean(), rel=1e-6)
+
+
+def test_padding_to_a_share_of_the_table(spark):
+    from colsieve.operators.registry import pad_selection
+
+    df = spark.range(3000).withColumnRenamed("id", "col_id")
+    got = sorted(r["col_id"] for r in pad_selection(df, df.filter("col_id % 10 = 3"), 600).collect())
+    assert got == sorted([*range(3, 3000, 10), *[i for i in range(3000) if i % 10 != 3][:300]])
