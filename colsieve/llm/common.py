@@ -5,17 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colsieve.session import ensure_checkpoint, ship_package
+from colsieve.session import ensure_checkpoint, materialize, ship_package
 
 #: Rows per Arrow batch for text columns, so that a batch of long texts stays small.
 TEXT_BATCH_ROWS = 1000
+#: Bitmaps of a key filter, of 4 KB each: a filter holds 2^25 bits and never more than 4 MB, whatever the number of keys.
+FILTER_BITMAPS, _BITMAP_BITS = 1 << 10, 1 << 15
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package, make sure there is a checkpoint folder, keep Arrow batches small."""
+    """Ship the package, make sure there is a checkpoint folder, keep Arrow batches small.
+
+    The two Arrow settings are the session's from then on: lazy results are evaluated after the operator has returned.
+    """
     ship_package(spark)
     ensure_checkpoint(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
@@ -48,6 +53,29 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _filter_bit(keys: list[Column]) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITMAPS * _BITMAP_BITS))
+
+
+def key_filter(df: DataFrame, *keys: str) -> DataFrame:
+    """A fixed-size filter (bucket, bits) of the keys of df: a bit for each key's hash, as a written table of at most FILTER_BITMAPS rows."""
+    bit = df.select(_filter_bit([quoted(k) for k in keys]).alias("bit"))
+    return materialize(bit.groupBy(F.expr(f"bit div {_BITMAP_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"bit % {_BITMAP_BITS}")).alias("bits")), "filter")
+
+
+def with_filter(df: DataFrame, keys_filter: DataFrame, *keys: str) -> DataFrame:
+    """df and __may: false for rows whose keys are certainly not in the filter, true for all others.
+
+    It saves wide rows a shuffle before a join that most of them would not survive. What slips through is left to
+    that join, so results never depend on it. Beyond some tens of millions of keys the bits fill up and it lets everything through.
+    """
+    probe = df.withColumn("__bit", _filter_bit([quoted(k) for k in keys])).withColumn("__bucket", F.expr(f"__bit div {_BITMAP_BITS}"))
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__bit % {_BITMAP_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(__bit % 8 as int)")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    bits = F.broadcast(keys_filter.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))  # 4 MB at most
+    return probe.join(bits, "__bucket", "left").withColumn("__may", may).drop("__bit", "__bits", "__bucket")
+
+
 class Carried:
     """All columns of a table under names that clash with nothing, for a pass over its text that gives them back.
 

@@ -12,15 +12,20 @@ one trigger form a phrase.
 * The remaining phrases share their core with others but not their context: there a repeat begins or
   ends. Dictionary and parse come together there: the distinct contexts of a core are put in suffix
   order (a suffix array by prefix doubling, cut at 400 bytes), in which equal strings are neighbours.
-  A core with too many distinct contexts for one task is counted over tasks by 128-bit fingerprints
-  of its strings instead, so no group is ever gathered, however many copies it has.
+* A core with more than GROUP_ROWS distinct contexts is parsed again, deeper: its starts are halved by their distance
+  to the trigger, and each half shares a longer core than before. Equal strings have one distance, so they stay
+  together. Halving goes on, level by level over all such cores at once, until a core is rare, its contexts are
+  equal or the group is small enough for a suffix sort; at one distance the core is the whole string, so it always
+  ends. No group is gathered whole, however many copies it has.
 
 Matches never cross documents; every string is judged on the input. Null text is empty. Texts below
-400 bytes lose nothing. Repeated rows are each other's copies, also under one id.
+400 bytes lose nothing. Repeated rows are each other's copies, also under one id. Ids are cast to bigint (a
+string that isn't a number raises). Long texts are parsed in overlapping slices of SLICE starts, with the same phrases.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,14 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
+from colsieve.llm.common import Carried, key_filter, map_batches, prepare, quoted, utf8, with_filter
 from colsieve.session import materialize
 
 LENGTH = 400
 GRAM, WINDOW = 16, 192
-#: Bytes of contexts that share one suffix sort, and the contexts of one core above which a group is counted over tasks instead.
-SORT_BYTES, GROUP_ROWS = 1 << 20, 4_000
-PHRASE_COLUMNS = ["row", "tag", "first", "last", "core", "context"]
+#: Bytes of contexts that share one suffix sort, and the distinct contexts of one core above which it is parsed deeper.
+SORT_BYTES, GROUP_ROWS = 1 << 20, 512
+#: Starts that are parsed at once, which bounds a task's memory whatever the length of a text.
+SLICE = 1 << 20
+PHRASE_COLUMNS = ["row", "tag", "first", "last", "lead", "core", "context"]
+RANGE = ["row", "tag", "first", "last"]
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -61,23 +69,34 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def phrases(raw: bytes, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _triggers(data: np.ndarray, starts: int, window: int) -> np.ndarray:
+    """The trigger of each of the first `starts` positions."""
+    h = rolling(data)
+    h ^= h >> np.uint64(32)
+    h = (h * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF00000000)
+    h |= np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64)  # ties: the rightmost
+    return (np.uint64(0xFFFFFFFF) - (sliding_min(h, window)[:starts] & np.uint64(0xFFFFFFFF))).astype(np.int64)
+
+
+def phrases(raw: bytes, length: int = LENGTH, window: int = WINDOW, slice_: int = SLICE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first start, last start, trigger) of each phrase: starts of `length`-byte strings with one trigger."""
     starts = len(raw) - length + 1
     if starts < 1:
         return (np.zeros(0, np.int64),) * 3
-    h = rolling(np.frombuffer(raw, np.uint8)[: starts + window + GRAM - 2])
-    h ^= h >> np.uint64(32)
-    h = (h * np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF00000000)
-    h |= np.uint64(0xFFFFFFFF) - np.arange(len(h), dtype=np.uint64)  # ties: the rightmost
-    trigger = (np.uint64(0xFFFFFFFF) - (sliding_min(h, window)[:starts] & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    first = np.flatnonzero(np.diff(trigger, prepend=-1))
-    last = np.append(first[1:], starts) - 1
-    return first, last, trigger[first]
+    firsts, triggers, before = [], [], -1
+    for at in range(0, starts, slice_):
+        n = min(slice_, starts - at)
+        trigger = _triggers(np.frombuffer(raw, np.uint8, n + window + GRAM - 2, at), n, window) + at
+        first = np.flatnonzero(np.diff(trigger, prepend=before))
+        firsts.append(first + at)
+        triggers.append(trigger[first])
+        before = int(trigger[-1])
+    first = np.concatenate(firsts)
+    return first, np.append(first[1:], starts) - 1, np.concatenate(triggers)
 
 
 def parse(df: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """Rows (row, tag, first, last, core, context) for each phrase of df (row, tag, __text)."""
+    """Rows (row, tag, first, last, lead, core, context) for each phrase of df (row, tag, __text); lead: from first to the trigger."""
     core_bytes = length - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +108,13 @@ def parse(df: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFram
                 if not len(first):
                     continue
                 view, fp = memoryview(raw), xxhash.xxh3_64_intdigest
+                lead = trigger - first
                 core = np.fromiter((fp(view[t : t + core_bytes]) for t in trigger.tolist()), np.uint64, len(first))
-                context = np.fromiter((fp(view[a : b + length], seed=t - a) for a, b, t in zip(first.tolist(), last.tolist(), trigger.tolist(), strict=True)), np.uint64, len(first))
-                for column, values in zip(out, (np.full(len(first), row), np.full(len(first), tag), first.astype(np.int32), last.astype(np.int32), core.view(np.int64), context.view(np.int64)), strict=True):
-                    column.append(values)
+                spans = zip(first.tolist(), last.tolist(), lead.tolist(), strict=True)
+                context = np.fromiter((fp(view[a : b + length], seed=d) for a, b, d in spans), np.uint64, len(first))
+                values = (np.full(len(first), row), np.full(len(first), tag), first.astype(np.int32), last.astype(np.int32))
+                for column, v in zip(out, (*values, lead.astype(np.int32), core.view(np.int64), context.view(np.int64)), strict=True):
+                    column.append(v)
                 held += len(first)
                 if held > 50_000:
                     yield _phrase_batch(out)
@@ -100,7 +122,7 @@ def parse(df: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFram
             if held:
                 yield _phrase_batch(out)
 
-    return df.mapInArrow(run, "row bigint, tag bigint, first int, last int, core bigint, context bigint")
+    return df.mapInArrow(run, "row bigint, tag bigint, first int, last int, lead int, core bigint, context bigint")
 
 
 def _phrase_batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -154,11 +176,15 @@ def _local_repeats(rows: DataFrame, length: int) -> DataFrame:
         size, core = 0, None
 
         def flush() -> pa.RecordBatch | None:
-            found = list(repeated_starts([h[4] for h in held], [h[3] - h[2] + 1 for h in held], [h[5] for h in held], length)) if len(held) > 1 else []
+            if len(held) < 2:
+                return None
+            found = list(repeated_starts([h[4] for h in held], [h[3] - h[2] + 1 for h in held], [h[5] for h in held], length))
             if not found:
                 return None
-            at = [held[i] for i, _, _ in found]
-            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in at], pa.int64()), pa.array([h[1] for h in at], pa.int64()), pa.array([h[2] + a for h, (_, a, _) in zip(at, found, strict=True)], pa.int32()), pa.array([h[2] + b for h, (_, _, b) in zip(at, found, strict=True)], pa.int32())], ["row", "tag", "first", "last"])
+            rows_, tags, starts, _, _, _ = zip(*(held[i] for i, _, _ in found), strict=True)
+            first = [s + a for s, (_, a, _) in zip(starts, found, strict=True)]
+            last = [s + b for s, (_, _, b) in zip(starts, found, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(rows_, pa.int64()), pa.array(tags, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], RANGE)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("core", "row", "tag", "first", "last", "bytes", "open")]
@@ -176,60 +202,87 @@ def _local_repeats(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "row bigint, tag bigint, first int, last int")
 
 
-def _counted_repeats(rows: DataFrame, length: int) -> DataFrame:
-    """As _local_repeats for groups of any size: strings are counted by fingerprint over all tasks."""
+def halves(first: int, last: int, lead: int, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+    """(lo, hi, first, last) of the starts at distance mid..hi and of those at lo..mid from the trigger; starts count from `first`."""
+    mid = (lo + hi) // 2
+    for a, b in ((mid, hi), (lo, mid)):
+        start, end = max(0, lead - b + 1), min(last - first, lead - a)
+        if start <= end:
+            yield a, b, start, end
+
+
+def _halved(rows: DataFrame, length: int) -> DataFrame:
+    """Rows of contexts (lo, hi: the distances of their starts to the trigger) as those of both halves, with their longer cores."""
+    names = ["core", "context", "lo", "hi", "open", "row", "tag", "first", "last", "lead", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fp = xxhash.xxh3_64_intdigest
+        signed = lambda h: h - (1 << 64) if h >> 63 else h
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("row", "tag", "first", "last", "bytes", "open")]
+            columns = [batch.column(c).to_pylist() for c in ("core", "lo", "hi", "open", "row", "tag", "first", "last", "lead", "bytes")]
             out: list[tuple] = []
-            for row, tag, first, last, data, is_open in zip(*columns, strict=True):
-                view = memoryview(data)
-                for a in range(last - first + 1):
-                    mark = xxhash.xxh3_128_digest(view[a : a + length])
-                    out.append((mark, row, tag, first + a, is_open))
-                if len(out) > 20_000:
-                    yield _start_batch(out)
-                    out = []
+            for core, lo, hi, is_open, row, tag, first, last, lead, data in zip(*columns, strict=True):
+                for a, b, start, end in halves(first, last, lead, lo, hi):
+                    shared = data[lead - a : lead - b + 1 + length]
+                    own = data[start : end + length]
+                    key = fp(shared, seed=(2 * core + (a == lo)) & 0xFFFFFFFFFFFFFFFF)
+                    out.append((signed(key), signed(fp(own, seed=lead - start)), a, b, is_open, row, tag, first + start, first + end, lead - start, own))
             if out:
-                yield _start_batch(out)
-
-    starts = materialize(rows.mapInArrow(run, "mark binary, row bigint, tag bigint, at int, open boolean"), "starts")
-    repeated = starts.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark")
-    return starts.filter("open").join(repeated, "mark", "left_semi").select("row", "tag", F.col("at").alias("first"), F.col("at").alias("last"))
-
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-def _start_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["mark", "row", "tag", "at", "open"])
+    schema = "core bigint, context bigint, lo int, hi int, open boolean, row bigint, tag bigint, first int, last int, lead int, bytes binary"
+    return rows.mapInArrow(run, schema)
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, window: int = WINDOW, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Ranges (row, tag, first, last) of starts whose `length`-byte string stands elsewhere too, from texts (row, tag, __text)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = materialize(parse(texts, length, window), "parse")
-    shared_cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
-    shared = materialize(parsed.join(shared_cores, "core", "left_semi"), "shared")
-    kinds = materialize(shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tag", "first", "last")).alias("one")), "contexts")
-    whole = shared.join(kinds.filter("n > 1").select("core", "context"), ["core", "context"], "left_semi").select("row", "tag", "first", "last")
-    groups = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.max((F.col("n") == 1).cast("int")).alias("mixed")).filter("rows > 1 AND mixed = 1").select("core", (F.col("rows") > group_rows).alias("large"))
-    wanted = kinds.join(groups, "core").select("core", "large", (F.col("n") == 1).alias("open"), "one.*")
+    # What is joined is written first: then both sides of a join are plain exchanges, whose skewed parts Spark splits.
+    cores = materialize(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "cores")
+    likely = with_filter(parsed, key_filter(cores, "core"), "core").filter("__may").drop("__may")
+    shared = materialize(likely.join(cores.hint("merge"), "core", "left_semi"), "shared")
+    one = F.min(F.struct("row", "tag", "first", "last", "lead")).alias("one")
+    kinds = materialize(shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
+    repeated = materialize(kinds.filter("n > 1").select("core", "context"), "repeated")
+    found = [shared.join(repeated, ["core", "context"], "left_semi").select(*RANGE)]
+    wanted = _undecided(kinds.select("core", (F.col("n") == 1).alias("open"), "one.*"), group_rows)
     body = F.expr(f"substring(cast(__text AS binary), first + 1, last - first + {length})")
-    bits = materialize(texts.join(wanted, ["row", "tag"]).select("core", "large", "open", "row", "tag", "first", "last", body.alias("bytes")), "open")
-    small = bits.filter("NOT large").repartition(n, "core").sortWithinPartitions("core")
-    return whole.unionByName(_local_repeats(small, length)).unionByName(_counted_repeats(bits.filter("large"), length))
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, group_rows: int = GROUP_ROWS, with_text: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256; with with_text also spans (start, end) and kept_text.
-
-    kept_text is cut at whole characters: a character that is only partly covered stays.
+    keyed = with_filter(texts, key_filter(wanted, "row", "tag"), "row", "tag").filter("__may").drop("__may")
+    level = materialize(keyed.join(wanted, ["row", "tag"]).select("core", F.lit(0).alias("lo"), F.lit(window).alias("hi"), "large", "open", *RANGE, "lead", body.alias("bytes")), "open")
+    while True:
+        small = level.filter("NOT large").repartition(n, "core").sortWithinPartitions("core")
+        found.append(_local_repeats(small, length))
+        large = level.filter("large")
+        if large.isEmpty():
+            break
+        halved = materialize(_halved(large, length), "halves")
+        rows = F.min(F.struct("row", "tag", "first", "last", "lead", "lo", "hi", "bytes")).alias("one")
+        kinds = materialize(halved.groupBy("core", "context").agg((F.count(F.lit(1)) == 1).alias("single"), F.max("open").alias("any"), rows), "contexts")
+        repeated = materialize(kinds.filter("NOT single AND any").select("core", "context"), "repeated")
+        found.append(halved.filter("open").join(repeated, ["core", "context"], "left_semi").select(*RANGE))
+        level = materialize(_undecided(kinds.select("core", F.expr("single AND any").alias("open"), "one.*"), group_rows), "open")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _undecided(kinds: DataFrame, group_rows: int) -> DataFrame:
+    """The distinct contexts (core, open, ...) of cores that have several, one of them open; large: more than group_rows."""
+    counts = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("rows"), F.max("open").alias("mixed")).filter("rows > 1 AND mixed")
+    return kinds.join(materialize(counts.select("core", (F.col("rows") > group_rows).alias("large")), "groups"), "core")
+
+
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, window: int = WINDOW, group_rows: int = GROUP_ROWS, with_spans: bool = False) -> DataFrame:
+    """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept_text; with with_spans also spans (start, end).
+
+    The digest is of the remaining bytes; kept_text is cut at whole characters: one that is only partly covered stays.
     """
-    rows = df.select(quoted(id_col).alias("__id"), quoted(text_col).alias("__text"))
-    schema = f"__id {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", spans array<struct<start:int,end:int>>, kept_text string" if with_text else "")
+    rows = df.select(quoted(id_col).alias("__id"), quoted(text_col).cast("string").alias("__text"))
+    schema = f"__id {df.schema[id_col].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+    names = ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"] + ["spans"] * with_spans
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, removed, runs, marks, spans_out, texts = [], [], [], [], [], []
+        total, removed, runs, marks, texts, spans_out = [], [], [], [], [], []
         for raw, found in zip(utf8(batch, "__text"), batch.column("ranges").to_pylist(), strict=True):
             raw, spans = raw or b"", spans_of(found, length)
             kept = without(raw, spans)
@@ -237,26 +290,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             removed.append(len(raw) - len(kept))
             runs.append(len(spans))
             marks.append(hashlib.sha256(kept).hexdigest())
-            if with_text:
-                spans_out.append([{"start": a, "end": b} for a, b in spans])
-                texts.append(kept_text(raw, spans))
-        out = [batch.column("__id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(marks)]
-        names = ["__id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        if with_text:
-            out += [pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(texts, pa.string())]
-            names += ["spans", "kept_text"]
+            texts.append(kept_text(raw, spans))
+            spans_out.append([{"start": a, "end": b} for a, b in spans])
+        out = [batch.column("__id"), *(pa.array(c, pa.int64()) for c in (total, removed, runs)), pa.array(marks), pa.array(texts, pa.string())]
+        if with_spans:
+            out.append(pa.array(spans_out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))))
         return pa.RecordBatch.from_arrays(out, names)
 
-    return map_batches(_with_ranges(rows, "__id", length, window, group_rows), run, schema).withColumnRenamed("__id", id_col)
+    made = map_batches(_with_ranges(rows, "__id", length, window, group_rows), run, schema + ", spans array<struct<start:int,end:int>>" * with_spans)
+    return made.withColumnRenamed("__id", id_col)
+
 
+def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, length: int = LENGTH, window: int = WINDOW, min_words: int = 0) -> DataFrame:
+    """All rows and columns, each text without its repeated strings (at whole characters); length_col gets its new number of characters.
 
-def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """All rows and columns, each text without its repeated strings (at whole characters); length_col gets its new number of characters."""
+    min_words: maximal repeated runs with fewer words, counting those that the run cuts into, stay.
+    """
     carried = Carried(df, text_col)
     names = carried.names
 
+    def kept(raw: bytes, found: list[dict] | None) -> str:
+        return kept_text(raw, [(a, b) for a, b in spans_of(found, length) if not min_words or len(raw[a:b].split()) >= min_words])
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [None if raw is None else kept_text(raw, spans_of(found, length)) for raw, found in zip(utf8(batch, "__text"), batch.column("ranges").to_pylist(), strict=True)]
+        texts = [None if raw is None else kept(raw, found) for raw, found in zip(utf8(batch, "__text"), batch.column("ranges").to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names[:-1]), pa.array(texts, pa.string())], names)
 
     made = carried.restore(map_batches(_with_ranges(carried.df, carried.of(id_col), length, window, GROUP_ROWS), run, carried.schema))
@@ -264,13 +321,18 @@ def stripped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
 
 def _with_ranges(rows: DataFrame, id_col: str, length: int, window: int, group_rows: int) -> DataFrame:
-    """rows (with __text) and the list of ranges of their repeated starts."""
+    """rows (with __text) and the list of ranges of their repeated starts; texts without any aren't moved."""
     prepare(rows.sparkSession)
     # Rows are keyed by id and checksum of the text; null ids are keyed below all others.
-    keyed = rows.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("row"), F.xxhash64(F.coalesce(F.col("__text").cast("string"), F.lit(""))).alias("tag"))
-    ranges = repeated_ranges(keyed.select("row", "tag", F.coalesce(F.col("__text").cast("string"), F.lit("")).alias("__text")), length, window, group_rows)
-    listed = ranges.distinct().groupBy("row", "tag").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return keyed.join(listed, ["row", "tag"], "left").drop("row", "tag")
+    text = F.coalesce(F.col("__text"), F.lit(""))
+    keyed = rows.select("*", F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("__row"), F.xxhash64(text).alias("__tag"))
+    ranges = repeated_ranges(keyed.select(F.col("__row").alias("row"), F.col("__tag").alias("tag"), text.alias("__text")), length, window, group_rows)
+    listed = ranges.groupBy(F.col("row").alias("__row"), F.col("tag").alias("__tag")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
+    listed = materialize(listed, "ranges")
+    probed = with_filter(keyed, key_filter(listed, "__row", "__tag"), "__row", "__tag")
+    unmoved = probed.filter("NOT __may").withColumn("ranges", F.lit(None).cast(listed.schema["ranges"].dataType))
+    moved = probed.filter("__may").join(listed.hint("merge"), ["__row", "__tag"], "left")
+    return unmoved.unionByName(moved).drop("__row", "__tag", "__may")
 
 
 def spans_of(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:

@@ -59,7 +59,7 @@ def removed_by_force(texts, length):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [suffix_dedup.GROUP_ROWS, 1])
+@pytest.mark.parametrize("group_rows", [suffix_dedup.GROUP_ROWS, 2])
 def test_suffix_dedup_equals_brute_force(spark, docs, texts, group_rows):
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs, group_rows=group_rows).collect()}
     assert got == removed_by_force(texts, 400)
@@ -70,13 +70,39 @@ def test_suffix_dedup_on_repetitive_text(spark):
     base = "".join(r.choice("ab") for _ in range(300))
     texts = {0: "a" * 200, 1: "ab" * 150, 2: base, 3: base[50:200] + "c" + base[:90], 4: base, 5: None, 6: "", 7: "x" + base[10:80] + base[10:80], 8: "é" * 60, 9: "zé" * 31}
     df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
-    for window, group_rows in ((12, 4000), (20, 1)):
+    for window, group_rows in ((12, 512), (20, 2)):
         got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, length=40, window=window, group_rows=group_rows).collect()}
         assert got == removed_by_force(texts, 40)
-    full = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, length=40, window=12, with_text=True).collect()}
+    full = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, length=40, window=12, with_spans=True).collect()}
     assert full[2]["kept_text"] == "" and full[2]["spans"][0]["end"] == 300 and full[8]["kept_text"] == ""
 
 
+def test_suffix_dedup_of_a_hot_core(spark):
+    """A line that many texts share is in one core with as many contexts: the group is parsed deeper, not gathered."""
+    line = words(60, 8)
+    texts = {i: words(30 + i % 7, i + 100) + " " + line[i % 5 :] + " " + words(25, 1000 + i // 2) for i in range(300)}
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], SCHEMA)
+    for group_rows in (512, 20):
+        assert {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, length=60, window=24, group_rows=group_rows).collect()} == removed_by_force(texts, 60)
+
+
+def test_phrases_of_slices_are_those_of_the_whole():
+    r = np.random.default_rng(4)
+    for raw in (r.integers(97, 105, 5000, dtype=np.uint8).tobytes(), b"ab" * 2500, bytes(399), bytes(400)):
+        whole = suffix_dedup.phrases(raw)
+        for slice_ in (1, 97, 1000):
+            assert all((a == b).all() for a, b in zip(whole, suffix_dedup.phrases(raw, slice_=slice_), strict=True))
+
+
+def test_short_runs_stay(spark):
+    line, passage = words(30, 1), words(51, 2)
+    texts = [words(80, 10 + i) + "\n" + (line if i < 3 else passage) + "\n" + words(80, 20 + i) for i in range(6)]
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r for r in suffix_dedup.stripped(df, length=100, window=40, min_words=51, length_col="n_chars").collect()}
+    assert all(got[i]["text"] == texts[i] for i in range(3)) and all(passage not in got[i]["text"] and len(got[i]["text"]) < len(texts[i]) - 200 for i in range(3, 6))
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
 # --- 2 ------------------------------------------------------------------------------------------
 
 
