@@ -12,8 +12,8 @@ from colsieve.session import ensure_checkpoint, materialize, ship_package
 
 #: Rows per Arrow batch for text columns, so that a batch of long texts stays small.
 TEXT_BATCH_ROWS = 1000
-#: Bitmaps of a key filter, of 4 KB each: a filter holds 2^25 bits and never more than 4 MB, whatever the number of keys.
-FILTER_BITMAPS, _BITMAP_BITS = 1 << 10, 1 << 15
+#: Bits of a key filter, held in words of 64: at most 2^19 rows (word, bits) of 16 bytes, whatever the number of keys.
+FILTER_BITS = 1 << 25
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,13 +54,13 @@ def quoted(name: str):
 
 
 def _filter_bit(keys: list[Column]) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITMAPS * _BITMAP_BITS))
+    return F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
 
 
 def key_filter(df: DataFrame, *keys: str) -> DataFrame:
-    """A fixed-size filter (bucket, bits) of the keys of df: a bit for each key's hash, as a written table of at most FILTER_BITMAPS rows."""
+    """A fixed-size filter (word, bits) of the keys of df: a bit for each key's hash, as a written table of at most FILTER_BITS / 64 rows."""
     bit = df.select(_filter_bit([quoted(k) for k in keys]).alias("bit"))
-    return materialize(bit.groupBy(F.expr(f"bit div {_BITMAP_BITS}").alias("bucket")).agg(F.bitmap_construct_agg(F.expr(f"bit % {_BITMAP_BITS}")).alias("bits")), "filter")
+    return materialize(bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")), "filter")
 
 
 def with_filter(df: DataFrame, keys_filter: DataFrame, *keys: str) -> DataFrame:
@@ -69,11 +69,10 @@ def with_filter(df: DataFrame, keys_filter: DataFrame, *keys: str) -> DataFrame:
     It saves wide rows a shuffle before a join that most of them would not survive. What slips through is left to
     that join, so results never depend on it. Beyond some tens of millions of keys the bits fill up and it lets everything through.
     """
-    probe = df.withColumn("__bit", _filter_bit([quoted(k) for k in keys])).withColumn("__bucket", F.expr(f"__bit div {_BITMAP_BITS}"))
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__bit % {_BITMAP_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    may = F.coalesce(F.call_function("shiftright", byte, F.expr("cast(__bit % 8 as int)")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    bits = F.broadcast(keys_filter.select(F.col("bucket").alias("__bucket"), F.col("bits").alias("__bits")))  # 4 MB at most
-    return probe.join(bits, "__bucket", "left").withColumn("__may", may).drop("__bit", "__bits", "__bucket")
+    probe = df.withColumn("__bit", _filter_bit([quoted(k) for k in keys])).withColumn("__word", F.expr("__bit div 64"))
+    may = F.coalesce(F.expr("shiftright(__bits, cast(__bit % 64 as int)) & 1L = 1L"), F.lit(False))
+    words = F.broadcast(keys_filter.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))  # of bounded size, see FILTER_BITS
+    return probe.join(words, "__word", "left").withColumn("__may", may).drop("__bit", "__bits", "__word")
 
 
 class Carried:
