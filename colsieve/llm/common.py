@@ -12,8 +12,8 @@ from colsieve.session import ensure_checkpoint, materialize, ship_package
 
 #: Rows per Arrow batch for text columns, so that a batch of long texts stays small.
 TEXT_BATCH_ROWS = 1000
-#: Bits of a key filter, held in words of 64: at most 2^19 rows (word, bits) of 16 bytes, whatever the number of keys.
-FILTER_BITS = 1 << 25
+#: Bits of a key filter, in rows of 512 words of 64: at most 1024 rows, 4 MB, whatever the number of keys.
+FILTER_BITS, _ROW_BITS = 1 << 25, 1 << 15
 
 
 def prepare(spark: SparkSession) -> None:
@@ -58,9 +58,12 @@ def _filter_bit(keys: list[Column]) -> Column:
 
 
 def key_filter(df: DataFrame, *keys: str) -> DataFrame:
-    """A fixed-size filter (word, bits) of the keys of df: a bit for each key's hash, as a written table of at most FILTER_BITS / 64 rows."""
+    """A fixed-size filter (row, words) of the keys of df: a bit for each key's hash, as a written table of at most 4 MB."""
     bit = df.select(_filter_bit([quoted(k) for k in keys]).alias("bit"))
-    return materialize(bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")), "filter")
+    words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    entry = F.struct(F.expr(f"word % {_ROW_BITS // 64}"), "bits")
+    held = words.groupBy(F.expr(f"word div {_ROW_BITS // 64}").alias("row")).agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+    return materialize(held.select("row", F.expr(f"transform(sequence(0, {_ROW_BITS // 64 - 1}), i -> coalesce(held[cast(i as bigint)], 0L))").alias("words")), "filter")
 
 
 def with_filter(df: DataFrame, keys_filter: DataFrame, *keys: str) -> DataFrame:
@@ -69,10 +72,10 @@ def with_filter(df: DataFrame, keys_filter: DataFrame, *keys: str) -> DataFrame:
     It saves wide rows a shuffle before a join that most of them would not survive. What slips through is left to
     that join, so results never depend on it. Beyond some tens of millions of keys the bits fill up and it lets everything through.
     """
-    probe = df.withColumn("__bit", _filter_bit([quoted(k) for k in keys])).withColumn("__word", F.expr("__bit div 64"))
-    may = F.coalesce(F.expr("shiftright(__bits, cast(__bit % 64 as int)) & 1L = 1L"), F.lit(False))
-    words = F.broadcast(keys_filter.select(F.col("word").alias("__word"), F.col("bits").alias("__bits")))  # of bounded size, see FILTER_BITS
-    return probe.join(words, "__word", "left").withColumn("__may", may).drop("__bit", "__bits", "__word")
+    probe = df.withColumn("__bit", _filter_bit([quoted(k) for k in keys])).withColumn("__at", F.expr(f"__bit div {_ROW_BITS}"))
+    may = F.expr(f"coalesce(shiftright(element_at(__words, cast((__bit % {_ROW_BITS}) div 64 as int) + 1), cast(__bit % 64 as int)) & 1L = 1L, false)")
+    words = F.broadcast(keys_filter.select(F.col("row").alias("__at"), F.col("words").alias("__words")))  # of bounded size, see FILTER_BITS
+    return probe.join(words, "__at", "left").withColumn("__may", may).drop("__bit", "__words", "__at")
 
 
 class Carried:

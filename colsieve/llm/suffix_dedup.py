@@ -239,14 +239,15 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, window: int = WINDOW
     """Ranges (row, tag, first, last) of starts whose `length`-byte string stands elsewhere too, from texts (row, tag, __text)."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parsed = materialize(parse(texts, length, window), "parse")
-    # What is joined is written first: then both sides of a join are plain exchanges, whose skewed parts Spark splits.
-    cores = materialize(parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core"), "cores")
-    likely = with_filter(parsed, key_filter(cores, "core"), "core").filter("__may").drop("__may")
-    shared = materialize(likely.join(cores.hint("merge"), "core", "left_semi"), "shared")
+    # Phrases of cores that stand once are left out as far as the filter knows them; the others' contexts turn out single. What is
+    # joined is written first: then both sides of a join are plain exchanges, whose skewed parts Spark splits.
+    cores = parsed.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    shared = with_filter(parsed, key_filter(cores, "core"), "core").filter("__may").drop("__may")
     one = F.min(F.struct("row", "tag", "first", "last", "lead")).alias("one")
     kinds = materialize(shared.groupBy("core", "context").agg(F.count(F.lit(1)).alias("n"), one), "contexts")
     repeated = materialize(kinds.filter("n > 1").select("core", "context"), "repeated")
-    found = [shared.join(repeated, ["core", "context"], "left_semi").select(*RANGE)]
+    likely = with_filter(shared, key_filter(repeated, "core", "context"), "core", "context").filter("__may")
+    found = [likely.join(repeated, ["core", "context"], "left_semi").select(*RANGE)]
     wanted = _undecided(kinds.select("core", (F.col("n") == 1).alias("open"), "one.*"), group_rows)
     body = F.expr(f"substring(cast(__text AS binary), first + 1, last - first + {length})")
     keyed = with_filter(texts, key_filter(wanted, "row", "tag"), "row", "tag").filter("__may").drop("__may")

@@ -311,10 +311,26 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
+@pytest.mark.parametrize("finish", [0, 5, components.FINISH_EDGES])
+def test_components(spark, finish):
+    edges = [(i, i + 1) for i in range(12)] + [(100, 90), (90, 95), (7, 7)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint"), finish_edges=finish).collect()}
+    assert got == {i: 0 for i in range(13)} | {100: 90, 90: 90, 95: 90}
+    assert components.connected_components(spark.createDataFrame([(7, 7)], "a bigint, b bigint"), finish_edges=finish).count() == 0
+
+
+def test_forest_links_are_neighbours_with_their_common_prefix(spark):
+    sets = [np.unique(np.random.default_rng(i // 4).integers(0, 1 << 62, 200, dtype=np.uint64)[: 200 - 9 * (i % 4)]) for i in range(80)]
+    signatures = [np.frombuffer(neardup.signature(s), np.uint16) for s in sets]
+    want = {}
+    for tree in range(neardup.TREES):
+        keys = sorted((np.take(g, range(tree * neardup.OWN, tree * neardup.OWN + neardup.DEPTH), mode="wrap").tobytes(), i) for i, g in enumerate(signatures))
+        for (x, i), (y, j) in zip(keys, keys[1:], strict=False):
+            depth = next((d for d in range(neardup.DEPTH) if x[2 * d : 2 * d + 2] != y[2 * d : 2 * d + 2]), neardup.DEPTH)
+            if depth >= neardup.MIN_DEPTH:
+                want[i, j] = max(want.get((i, j), 0), depth)
+    reps = spark.createDataFrame([(i, neardup.signature(s)) for i, s in enumerate(sets)], "id bigint, sig binary")
+    assert {(r["a"], r["b"]): r["depth"] for r in neardup.forest_links(reps).collect()} == want and len(set(want.values())) > 2
 
 
 # --- 7 ------------------------------------------------------------------------------------------
