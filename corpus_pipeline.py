@@ -13,6 +13,10 @@ from colsieve.llm import bpe, neardup, packing, quality, rules, suffix_dedup
 from colsieve.llm.common import table
 from colsieve.session import materialize
 
+#: A passage is what repeats over more than 50 words. Words have 6 to 7 bytes with their space here, and 51 words had 253 bytes at
+#: least, so repeated strings are looked for from PASSAGE_BYTES on and runs of fewer words than PASSAGE_WORDS stay.
+PASSAGE_BYTES, PASSAGE_WINDOW, PASSAGE_WORDS = 200, 96, 51
+
 #: The classifier's decision isn't expressible in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
@@ -34,8 +38,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 400-byte strings that stand elsewhere too."""
-    return suffix_dedup.stripped(docs, length_col="n_chars")
+    """All documents, without the passages of more than 50 words that stand elsewhere too."""
+    return suffix_dedup.stripped(docs, length_col="n_chars", length=PASSAGE_BYTES, window=PASSAGE_WINDOW, min_words=PASSAGE_WORDS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
