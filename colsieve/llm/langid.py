@@ -51,20 +51,22 @@ def family_of(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang in codes), lang)
 
 
-def gram_buckets(raw: bytes) -> np.ndarray:
-    """Bucket of every 1-, 2- and 3-byte gram of the text, padded by spaces; ASCII case is folded."""
-    data = _LOW[np.frombuffer(b" " + raw + b" ", np.uint8)].astype(np.uint32)
+def gram_buckets(raw: bytes) -> list[np.ndarray]:
+    """Buckets of all 1-, 2- and 3-byte grams of some bytes; ASCII case is folded."""
+    data = _LOW[np.frombuffer(raw, np.uint8)].astype(np.uint32)
     one = data * np.uint32(2654435761)
     two = (one[:-1] ^ (data[1:] + np.uint32(1)) * np.uint32(2246822519)) * np.uint32(3266489917)
     three = (two[:-1] ^ (data[2:] + np.uint32(7)) * np.uint32(668265263)) * np.uint32(374761393)
-    return (np.concatenate([one, two, three]) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
+    return [(g >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32) for g in (one, two, three)]
 
 
-def frequencies(raw: bytes) -> np.ndarray:
-    """Relative frequencies of a whole text's grams; their order doesn't matter, so long texts go in slices."""
+def frequencies(raw: bytes, chunk: int = _CHUNK) -> np.ndarray:
+    """Relative frequencies of the grams of a whole text between two spaces. Long texts go in slices, which overlap by the grams that cross their ends."""
     counts = np.zeros(BUCKETS, np.int64)
-    for at in range(0, len(raw), _CHUNK):
-        counts += np.bincount(gram_buckets(raw[at : at + _CHUNK]), minlength=BUCKETS)
+    padded = b" " + raw + b" "
+    for at in range(0, len(padded), chunk):
+        for width, buckets in enumerate(gram_buckets(padded[max(0, at - 2) : at + chunk]), 1):
+            counts += np.bincount(buckets[max(0, min(at, 2) - width + 1) :], minlength=BUCKETS)  # a gram counts in the slice that it ends in
     return counts / max(1, counts.sum())
 
 
