@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from array import array
 from collections.abc import Callable
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from colsieve.llm.common import map_batches, prepare, utf8
 
-#: Most entries of each memo in a worker.
-MEMO_ENTRIES = 600_000
+#: Most memory of each memo in a worker, whose processes serve one operator after another.
+MEMO_BYTES = 32 << 20
 #: Marks the end of a word; no UTF-8 text holds this byte.
 WORD_END = b"\xff"
 
@@ -34,17 +35,21 @@ _ENCODERS: dict[str, ForcedBoundaryBPE] = {}
 
 
 class _Memo(dict):
-    """A bounded memo: a miss computes the value, a full memo starts again."""
+    """A memo of bounded memory (keys, values and about 100 bytes for an entry): a miss computes the value, a full memo starts again."""
 
-    def __init__(self, compute: Callable[[bytes], bytes], entries: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable, most: int = MEMO_BYTES):
         super().__init__()
-        self._compute, self._entries = compute, entries
+        self._compute, self._most, self._held = compute, most, 0
 
     def __missing__(self, key):
         value = self._compute(key)
-        if len(self) >= self._entries:
+        size = 100 + sys.getsizeof(key) + sys.getsizeof(value) + (32 * len(value) if isinstance(value, tuple) else 0)
+        if self._held + size > self._most:
             self.clear()
-        self[key] = value
+            self._held = 0
+        if size <= self._most:
+            self[key] = value
+            self._held += size
         return value
 
 

@@ -54,7 +54,7 @@ def features(raw: bytes | None) -> np.ndarray:
     """Distinct buckets of a whole text: the presence of each of its word features, and its repetition in steps."""
     global _FEATURES
     if _FEATURES is None:
-        _FEATURES = _Memo(word_features, 300_000)
+        _FEATURES = _Memo(word_features)
     words = raw.split() if raw else []
     kinds = set(words)
     found: set[int] = set()

@@ -412,6 +412,15 @@ def test_bpe_equals_the_library(spark, docs):
     assert {r["n_tokens"] for r in out.filter("doc_id IN (1, 2, 3)").collect()} == {0}
 
 
+def test_memos_are_bounded_in_bytes():
+    memo = bpe._Memo(lambda w: w * 2, 10_000)
+    for n in (10, 300, 20_000):
+        for i in range(100):
+            assert memo[b"%06d" % i * n] == b"%06d" % i * 2 * n
+            assert sum(len(k) + len(v) for k, v in memo.items()) <= 10_000
+    assert len(memo) == 0 or max(map(len, memo)) < 10_000
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 
 
