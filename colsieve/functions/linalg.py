@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from colsieve.session import materialize
+
 #: Most matrix rows (length of vec) for which m x m state is kept on the driver.
 MAX_ROWS = 2_000
 
@@ -87,7 +89,11 @@ def map_vectors(df: DataFrame, a: np.ndarray, vec: str = "vec", out: str = "vec"
 
 
 def whiten(df: DataFrame, vec: str = "vec") -> DataFrame:
-    """vec replaced by columns of a factor with orthonormal rows. Two rounds (Cholesky QR) restore what the Gram loses."""
+    """vec replaced by columns of a factor with orthonormal rows. Two rounds (Cholesky QR) restore what the Gram loses.
+
+    The source is written once, as three passes read it.
+    """
+    df = materialize(df, "columns")
     once = map_vectors(df, whitener(gram_matrix(df, vec)), vec, vec)
     return map_vectors(once, whitener(gram_matrix(once, vec)), vec, vec)
 
@@ -99,7 +105,10 @@ def leverage(df: DataFrame, vec: str = "vec") -> DataFrame:
 
 def pinv_norms(df: DataFrame, vec: str = "vec") -> dict[str, float]:
     """Norms of the pseudoinverse from the m x m Gram; 0 for an empty matrix, inf without full rank."""
-    g = gram_matrix(df, vec)
+    return norms_of_gram(gram_matrix(df, vec))
+
+
+def norms_of_gram(g: np.ndarray) -> dict[str, float]:
     if not g.size:
         return {"frobenius": 0.0, "spectral": 0.0}
     values = np.linalg.eigvalsh(g)

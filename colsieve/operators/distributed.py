@@ -23,10 +23,15 @@ def _vec() -> Column:
     return F.col("vec")
 
 
-def quadratic(y: np.ndarray, v: Column | None = None) -> Column:
+#: Matrix rows up to which Y is a literal of the plan; beyond, Arrow batches are multiplied with it in the tasks.
+LITERAL_ROWS = 16
+
+
+def quadratic(y: np.ndarray) -> Column:
     """v^T Y v."""
-    v = _vec() if v is None else v
-    return dot(F.transform(matrix_literal(y), lambda row: dot(row, v)), v)
+    if len(y) > LITERAL_ROWS:
+        return _batched(y)
+    return dot(F.transform(matrix_literal(y), lambda row: dot(row, _vec())), _vec())
 
 
 def _prepared(df: DataFrame) -> tuple[DataFrame, int, int]:
@@ -63,13 +68,21 @@ def _ranked(df: DataFrame, algorithm: str, k: int) -> DataFrame:
     return top.select(F.lit(0).cast("bigint").alias("matrix_id"), F.lit(algorithm).alias("algorithm"), F.lit(k).alias("k"), F.lit(None).cast("int").alias("rank"), "col_id", F.lit(None).cast("bigint").alias("swap_count"))
 
 
+def _checked_rows(df: DataFrame, k: int) -> None:
+    """The contract, from the row count and one vector."""
+    first = df.select(F.size("vec").alias("m")).first()
+    _checked(first["m"] if first else 0, df.count(), k)
+
+
 def random_columns(df: DataFrame, k: int, seed: int = 0, call: int = 0, trial: int = 0, **_) -> DataFrame:
-    """A uniform k-subset: the k smallest uniforms. Never reads vec."""
+    """A uniform k-subset: the k smallest uniforms. Reads no vectors but one, for the contract."""
+    _checked_rows(df, k)
     return _ranked(df.select("col_id", uniform(seed, call, trial, F.col("col_id")).alias("key")), "random columns", k)
 
 
 def leverage_scores(df: DataFrame, k: int, seed: int = 0, call: int = 0, trial: int = 0, **_) -> DataFrame:
     """Weighted sampling without replacement by leverage: the k largest log(u) / w."""
+    _checked_rows(df, k)
     w = dot(_vec(), _vec())
     key = F.when(w > 0, -F.log(uniform(seed, call, trial, F.col("col_id"))) / w).otherwise(F.lit(float("inf")))
     return _ranked(whiten(df).select("col_id", key.alias("key")), "leverage scores", k)
@@ -132,13 +145,21 @@ def frobenius_selection(df: DataFrame, k: int, **_) -> DataFrame:
     return _result(q, "frobenius selection", k, chosen)
 
 
-def volume_add_remove(df: DataFrame, k: int, c: float = 1.0, **_) -> DataFrame:
-    """Two picks for each exchange: the best addition by a pass, the best removal among the k chosen vectors."""
+def volume_add_remove(df: DataFrame, k: int, c: float = 1.0, initialization: str = "greedy", **_) -> DataFrame:
+    """Two picks for each exchange: the best addition by a pass, the best removal among the k chosen vectors.
+
+    initialization: "cpqr" (m pivots, then the lowest ids) or "greedy" (then the largest leverages); "advanced" is for the kernel only.
+    """
     if c < 1:
         raise ValueError("c must be at least 1")
+    if initialization not in ("cpqr", "greedy"):
+        raise ValueError(f"the distributed form starts from 'cpqr' or 'greedy', not from {initialization!r}")
     q, m, n = _prepared(df)
     _checked(m, n, k)
     chosen, vectors = _cpqr(q, m)
+    if initialization == "cpqr":
+        rest = _outside(q, chosen).orderBy("col_id").limit(k - m).collect()  # k vectors are held anyway
+        chosen, vectors = chosen + [r["col_id"] for r in rest], vectors + [np.array(r["vec"]) for r in rest]
     x = np.array(vectors).T
     y = np.linalg.inv(x @ x.T)
     while len(chosen) < k:

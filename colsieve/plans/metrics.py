@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.functions.linalg import dot, gram_matrix, pinv_norms, whitener
+from colsieve.functions.linalg import dot, gram_matrix, norms_of_gram, whitener
+from colsieve.session import materialize
 
 METRICS = {
     "spectral": "pinv_spectral_norm_ratio",
@@ -43,9 +44,10 @@ def kernel_metrics(x: np.ndarray, picks: list[int], y: np.ndarray | None = None)
 
 def selection_metrics(df: DataFrame, selection: DataFrame, target: str | None = None) -> dict[str, float]:
     """The same for a distributed matrix (col_id, vec[, y]): two Grams and, with a target, one pass for the error."""
-    chosen = df.join(selection.select("col_id"), "col_id", "left_semi")
+    df = materialize(df, "columns")
+    chosen = materialize(df.join(selection.select("col_id"), "col_id", "left_semi"), "chosen")
     g, gs = gram_matrix(df), gram_matrix(chosen)
-    whole, part = pinv_norms(df), pinv_norms(chosen)
+    whole, part = norms_of_gram(g), norms_of_gram(gs)
     w = whitener(g)
     values = np.linalg.eigvalsh(w @ gs @ w.T)
     out = {f"pinv_{n}_norm_ratio": whole[n] / part[n] for n in ("spectral", "frobenius")}

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colsieve.functions.bounds import EXPRESSIONS, bound_sql, bounds_grid, orthonormal_curve
+from colsieve.functions.bounds import bounds_grid, orthonormal_curve
 from colsieve.functions.linalg import dot, gram_relational, leverage, pinv_norms
 from colsieve.functions.rng import uniform, uniform_sql
 from colsieve.operators import distributed
@@ -87,7 +87,7 @@ def customer_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_matrix(spark: SparkSession) -> DataFrame:
     """The fixed 3 x 5 example."""
-    x = [[1, 2, 3, 4, 5], [0, 6, 7, 8, 9], [0, 0, 10, 11, 12]]
+    x = [[2, 1, 4, -3, 7], [5, 0, 1, 6, 2], [1, 8, -3, 2, 9]]
     return spark.createDataFrame([(j, [float(r[j]) for r in x]) for j in range(5)], "col_id bigint, vec array<double>")
 
 
@@ -107,12 +107,33 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _bounds_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT '{s}' AS selector, '{q}' AS norm, m, n, k, round(CAST({bound_sql(s, q)} AS DOUBLE), 9) AS bound FROM s" for s, q in sorted(EXPRESSIONS))
-    return f"WITH s AS (SELECT CAST(p_size AS BIGINT) AS m, CAST(p_size + 40 AS BIGINT) AS n, CAST(p_size + p_partkey % 41 AS BIGINT) AS k FROM part GROUP BY ALL) {rows}"
+#: The published bounds written out by hand, apart from the expressions that the query uses: (selector, frobenius, spectral).
+BOUNDS_SQL = """
+    WITH s AS (SELECT CAST(p_size AS DOUBLE) AS m, CAST(p_size + 40 AS DOUBLE) AS n, CAST(p_size + p_partkey % 41 AS DOUBLE) AS k FROM part GROUP BY ALL),
+    h AS (SELECT *, (k - m + 1) / (n - m + 1) AS kept, sqrt((k - 1) * m + 1) AS alpha, m * (n - k) / (k - m + 1) AS late, m * (n - m) AS early,
+                 sqrt(n) + sqrt(k + 1) AS wide, sqrt((k + 1) * (n - m)) - sqrt(m * greatest(n - k - 1, 0)) AS gap FROM s),
+    f AS (SELECT m, n, k, unnest([
+        {'s': 'random columns', 'f': 0.0, 'p': 0.0},
+        {'s': 'leverage scores', 'f': 0.0, 'p': 0.0},
+        {'s': 'forward iterative volume sampling', 'f': 0.0, 'p': 0.0},
+        {'s': 'reverse iterative volume sampling', 'f': 0.0, 'p': 0.0},
+        {'s': 'volume removal', 'f': 0.0, 'p': 0.0},
+        {'s': 'derandomized volume', 'f': 0.0, 'p': 0.0},
+        {'s': 'frobenius removal', 'f': kept, 'p': kept / m},
+        {'s': 'spectral removal', 'f': kept / m, 'p': 1 / (1 + late)},
+        {'s': 'frobenius selection', 'f': k / m / (n - m + 1), 'p': k / (m * m) / (n - m + 1)},
+        {'s': 'spectral selection', 'f': CASE WHEN m > 1 THEN m / n * ((k - alpha) / (alpha - 1)) ** 2 ELSE k / n END, 'p': CASE WHEN m > 1 THEN m / n * ((k - alpha) / (alpha - 1)) ** 2 ELSE k / n END},
+        {'s': 'dual set', 'f': CASE WHEN k > m THEN ((sqrt(k + 1) - sqrt(m)) / wide) ** 2 END, 'p': CASE WHEN k > m THEN ((sqrt(k + 1) - sqrt(m)) / wide) ** 2 END},
+        {'s': 'dominant', 'f': m / (m + late), 'p': 1 / (1 + late)},
+        {'s': 'volume add-remove', 'f': m / (m + late), 'p': 1 / (1 + late)},
+        {'s': 'rect-maxvol', 'f': 1 / (1 + n - m), 'p': 1 / (1 + early)},
+        {'s': 'interlacing families', 'f': CASE WHEN k < n THEN (gap / n) ** 2 ELSE 1 END, 'p': CASE WHEN k < n THEN (gap / n) ** 2 ELSE 1 END}]) AS r FROM h)
+    SELECT r.s AS selector, 'frobenius' AS norm, CAST(m AS BIGINT) AS m, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, round(CAST(r.f AS DOUBLE), 9) AS bound FROM f
+    UNION ALL SELECT r.s, 'spectral', CAST(m AS BIGINT), CAST(n AS BIGINT), CAST(k AS BIGINT), round(CAST(r.p AS DOUBLE), 9) FROM f
+"""
 
 
-@query("bounds_grid", _bounds_sql())
+@query("bounds_grid", BOUNDS_SQL)
 def bounds_grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("m"), (F.col("p_size") + 40).cast("bigint").alias("n"), (F.col("p_size") + F.col("p_partkey") % 41).cast("bigint").alias("k")).distinct()
     return bounds_grid(spark, sizes).withColumn("bound", F.round("bound", 9))
@@ -213,21 +234,129 @@ def cpqr_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributed.cpqr_start(orders_matrix(spark, sf_dir)).select("rank", "col_id")
 
 
-@query("greedy_start_distributed")
+# Selections on matrices of three rows as SQL, one common table for each step. Every step reads w0 (col_id, a, b, c), the whitened
+# columns, and the ids chosen so far; y is the inverse of the chosen columns' Gram.
+
+
+def _inverse_sql(step: str, chosen: str) -> str:
+    return f"""
+        g_{step} AS MATERIALIZED (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc FROM w0 WHERE col_id IN (SELECT col_id FROM {chosen})),
+        d_{step} AS MATERIALIZED (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM g_{step}),
+        y_{step} AS MATERIALIZED (SELECT (bb * cc - bc * bc) / det AS p, (ac * bc - ab * cc) / det AS q, (ab * bc - ac * bb) / det AS r, (aa * cc - ac * ac) / det AS s, (ab * ac - aa * bc) / det AS t, (aa * bb - ab * ab) / det AS u FROM d_{step}),
+        z_{step} AS MATERIALIZED (SELECT col_id, p * a + q * b + r * c AS za, q * a + s * b + t * c AS zb, r * a + t * b + u * c AS zc, w0.a, w0.b, w0.c FROM w0, y_{step}),
+        l_{step} AS MATERIALIZED (SELECT col_id, za * a + zb * b + zc * c AS l, za * za + zb * zb + zc * zc AS l2, za, zb, zc, a, b, c FROM z_{step})"""
+
+
+def _add_sql(step: str, chosen: str, into: str, score: str) -> str:
+    """The unchosen column with the largest score joins."""
+    return _inverse_sql(step, chosen) + f""",
+        {into} AS MATERIALIZED (SELECT col_id FROM {chosen} UNION ALL (SELECT col_id FROM l_{step} WHERE col_id NOT IN (SELECT col_id FROM {chosen}) ORDER BY round({score}, 9) DESC, col_id LIMIT 1))"""
+
+
+def _drop_sql(step: str, chosen: str, into: str, score: str) -> str:
+    """The chosen column with the least score leaves."""
+    return _inverse_sql(step, chosen) + f""",
+        {into} AS MATERIALIZED (SELECT col_id FROM {chosen} WHERE col_id <> (SELECT col_id FROM l_{step} WHERE col_id IN (SELECT col_id FROM {chosen}) ORDER BY round({score}, 9), col_id LIMIT 1))"""
+
+
+def _greedy_sql(whitened: str, k: int) -> str:
+    """Common tables up to c_k: three pivots, then the largest leverages."""
+    first = f"{whitened}, c_3 AS MATERIALIZED (SELECT col_id FROM k1 UNION ALL SELECT col_id FROM k2 UNION ALL SELECT col_id FROM k3)"
+    return ",".join([first, *(_add_sql(f"g{n}", f"c_{n}", f"c_{n + 1}", "l") for n in range(3, k))])
+
+
+def _exchange_sql(whitened: str, k: int, rounds: int, pair: str) -> str:
+    """k columns and the exchanges that grew the volume; a round that doesn't grow it changes nothing, nor do those that follow."""
+    parts, at = [_greedy_sql(whitened, k), f"n_0 AS (SELECT 0 AS swaps), e_0 AS MATERIALIZED (SELECT col_id FROM c_{k})"], "e_0"
+    for t in range(rounds):
+        parts.append(_inverse_sql(f"x{t}", at))
+        parts.append(pair.format(t=t, at=at))
+        parts.append(f"n_{t + 1} AS (SELECT swaps + (SELECT count(*) FROM b_{t}) AS swaps FROM n_{t})")
+        at = f"e_{t + 1}"
+        parts.append(f"{at} AS MATERIALIZED (SELECT col_id FROM e_{t} WHERE col_id NOT IN (SELECT o FROM b_{t}) UNION ALL SELECT i FROM b_{t})")
+    return ",".join(parts) + f" SELECT col_id, CAST(swaps AS BIGINT) AS swap_count FROM {at}, n_{rounds}"
+
+
+#: The exchange (i in, o out) of the largest gain in volume, if it is one.
+_BEST_PAIR = """
+    b_{t} AS MATERIALIZED (SELECT i, o FROM (
+        SELECT x.col_id AS i, h.col_id AS o, (1 + x.l) * (1 - h.l) + pow(x.a * h.za + x.b * h.zb + x.c * h.zc, 2) AS gain
+        FROM l_x{t} x, l_x{t} h WHERE h.col_id IN (SELECT col_id FROM {at}) AND x.col_id NOT IN (SELECT col_id FROM {at})
+        ORDER BY round(gain, 9) DESC, o, i LIMIT 1) WHERE gain > 1 + 1e-10)"""
+#: The column of the largest leverage comes in, then of all that are there the one of the least leverage goes.
+_ADD_THEN_DROP = """
+    i_{t} AS MATERIALIZED (SELECT * FROM l_x{t} WHERE col_id NOT IN (SELECT col_id FROM {at}) ORDER BY round(l, 9) DESC, col_id LIMIT 1),
+    b_{t} AS MATERIALIZED (SELECT i, o FROM (
+        SELECT x.col_id AS i, h.col_id AS o, h.l - pow(x.a * h.za + x.b * h.zb + x.c * h.zc, 2) / (1 + x.l) AS loss, x.l AS l
+        FROM i_{t} x, l_x{t} h WHERE h.col_id IN (SELECT col_id FROM {at}) ORDER BY round(loss, 9), o LIMIT 1) WHERE (1 + l) * (1 - loss) > 1 + 1e-10)"""
+
+_PIVOTS = PIVOT_SQL[: PIVOT_SQL.rindex("SELECT 0 AS rank")].rstrip()
+
+
+@query("greedy_start_distributed", _greedy_sql(_PIVOTS, 8) + " SELECT CAST(row_number() OVER () - 1 AS INTEGER) AS rank, col_id FROM (SELECT *, row_number() OVER () AS r FROM c_8 ORDER BY r)")
 def greedy_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distributed.greedy_volume(orders_matrix(spark, sf_dir), 8).select("rank", "col_id")
 
 
-@query("volume_add_remove_distributed")
+@query("volume_add_remove_distributed", _exchange_sql(_PIVOTS, 6, 8, _ADD_THEN_DROP))
 def add_remove_distributed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_subset(orders_matrix(spark, sf_dir), 6, "volume add-remove", path="distributed").select("col_id", "swap_count")
 
 
-@query("frobenius_selection_distributed")
+#: Least (1 + squared length in the chosen basis) / squared residual: the first is the longest, then one and two coefficients are solved for.
+_FROBENIUS_PIVOTS = """,
+    f1 AS MATERIALIZED (SELECT * FROM s1 ORDER BY round(1 / r, 9), col_id LIMIT 1),
+    f2 AS MATERIALIZED (SELECT s.col_id, s.a, s.b, s.c FROM (SELECT w0.*, w0.a * f1.a + w0.b * f1.b + w0.c * f1.c AS d, f1.r AS f, w0.a * w0.a + w0.b * w0.b + w0.c * w0.c AS n FROM w0, f1 WHERE w0.col_id <> f1.col_id) s
+        WHERE n - d * d / f > 1e-14 ORDER BY round((1 + pow(d / f, 2)) / (n - d * d / f), 9), col_id LIMIT 1),
+    f3 AS MATERIALIZED (SELECT col_id FROM (
+        SELECT col_id, n, d, e, (d * h - e * o) / (f * h - o * o) AS u, (e * f - d * o) / (f * h - o * o) AS v FROM (
+            SELECT w0.col_id, w0.a * w0.a + w0.b * w0.b + w0.c * w0.c AS n, w0.a * f1.a + w0.b * f1.b + w0.c * f1.c AS d, w0.a * f2.a + w0.b * f2.b + w0.c * f2.c AS e,
+                   f1.r AS f, f2.a * f2.a + f2.b * f2.b + f2.c * f2.c AS h, f1.a * f2.a + f1.b * f2.b + f1.c * f2.c AS o
+            FROM w0, f1, f2 WHERE w0.col_id NOT IN (f1.col_id, f2.col_id)))
+        WHERE n - u * d - v * e > 1e-14 ORDER BY round((1 + u * u + v * v) / (n - u * d - v * e), 9), col_id LIMIT 1),
+    c_3 AS MATERIALIZED (SELECT col_id FROM f1 UNION ALL SELECT col_id FROM f2 UNION ALL SELECT col_id FROM f3)"""
+
+
+def _frobenius_sql(whitened: str, k: int) -> str:
+    return ",".join([whitened + _FROBENIUS_PIVOTS, *(_add_sql(f"g{n}", f"c_{n}", f"c_{n + 1}", "l2 / (1 + l)") for n in range(3, k))]) + f" SELECT col_id FROM c_{k}"
+
+
+@query("frobenius_selection_distributed", _frobenius_sql(_PIVOTS, 6))
 def frobenius_distributed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_subset(orders_matrix(spark, sf_dir), 6, "frobenius selection", path="distributed").select("col_id")
 
 
+def profile_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per nation of all customers: their number, their mean balance and the number of their market segment BUILDING."""
+    of = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("col_id"))
+    agg = of.agg(F.count(F.lit(1)).cast("double").alias("a"), (F.avg("c_acctbal") / 100).alias("b"), F.sum((F.col("c_mktsegment") == "BUILDING").cast("double")).alias("c"))
+    return agg.select("col_id", F.array("a", "b", "c").alias("vec"))
+
+
+_PROFILE_SQL = "SELECT CAST(c_nationkey AS BIGINT) AS col_id, CAST(count(*) AS DOUBLE) AS x0, avg(c_acctbal) / 100 AS x1, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1e0 ELSE 0e0 END) AS x2, 0e0 AS y FROM customer GROUP BY c_nationkey"
+_PROFILE_PIVOTS = _PIVOTS.replace(ORDERS_SQL, _PROFILE_SQL)
+_RAW = f"WITH w0 AS MATERIALIZED (SELECT col_id, x0 AS a, x1 AS b, x2 AS c FROM ({_PROFILE_SQL})), c_25 AS (SELECT col_id FROM w0)"
+
+
+def _removal_sql(whitened: str, k: int, score: str) -> str:
+    return ",".join([whitened, *(_drop_sql(f"r{n}", f"c_{n}", f"c_{n - 1}", score) for n in range(25, k, -1))]) + f" SELECT col_id FROM c_{k}"
+
+
+_ALL = ", c_25 AS (SELECT col_id FROM w0)"
+for _key, _name, _k, _sql in [
+    ("volume_removal_profile", "volume removal", 15, _removal_sql(_RAW, 15, "l")),
+    ("frobenius_removal_profile", "frobenius removal", 15, _removal_sql(_RAW, 15, "l2 / (1 - l)")),
+    ("spectral_removal_profile", "spectral removal", 15, _removal_sql(_PROFILE_PIVOTS + _ALL, 15, "l2 / (1 - l)")),
+    ("frobenius_selection_profile", "frobenius selection", 7, _frobenius_sql(_PROFILE_PIVOTS, 7)),
+]:
+    query(_key, _sql)(_selection(_name, profile_matrix, _k))
+for _key, _name, _pair in (("dominant_profile", "dominant", _BEST_PAIR), ("volume_add_remove_profile", "volume add-remove", _ADD_THEN_DROP)):
+    query(_key, _exchange_sql(_PROFILE_PIVOTS, 5, 8, _pair))(_selection(_name, profile_matrix, 5, ("col_id", "swap_count"), c=1.0, initialization="greedy"))
+query("rect_maxvol_profile", ",".join([_exchange_sql(_PROFILE_PIVOTS, 3, 8, _BEST_PAIR).rsplit(" SELECT col_id, CAST(swaps", 1)[0] + ", c_3r AS (SELECT col_id FROM e_8)", _add_sql("m3", "c_3r", "c_4r", "l"), _add_sql("m4", "c_4r", "c_5r", "l")]) + " SELECT col_id FROM c_5r")(
+    _selection("rect-maxvol", profile_matrix, 5, c=1.0)
+)
+
+
 @query("select_subset_sql")
 def select_subset_sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table function: leverage sampling, which needs no more than one pass in its task."""
@@ -282,15 +411,31 @@ def weighted_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.random_edges(spark, 13, 40, seed=11).withColumn("w", F.round(1 - uniform(11, 100, 0, F.col("edge_id")), 9))
 
 
-@query("gen_graph", "SELECT CAST(i AS INTEGER) AS i, CAST(1 AS DOUBLE) AS v FROM range(12) AS a(i)")
+def _incidence_sql(weight: str) -> str:
+    return f"""
+        WITH e AS (SELECT row_number() OVER (ORDER BY u, v1, v2) - 1 AS edge_id, v1, v2 FROM ({_PAIRS})), w AS (SELECT *, sqrt({weight}) AS s FROM e)
+        SELECT CAST(i AS INTEGER) AS i, edge_id, round(CASE i WHEN v1 THEN s WHEN v2 THEN -s ELSE 0 END, 7) + 0.0 AS v FROM w, range(13) AS r(i)
+    """
+
+
+def _row_space(edges: DataFrame, q: DataFrame, weight: Column | None) -> DataFrame:
+    """(i, edge_id, v): the incidence matrix of edges times the projector on the rows of q; it is the matrix itself where q spans its rows."""
+    cells = generators.incidence(edges, 13, weight).select(F.col("col_id"), F.posexplode("vec").alias("i", "b"))
+    rows = q.select("col_id", F.posexplode("vec").alias("j", "x"))
+    image = cells.join(rows, "col_id").groupBy("i", "j").agg(F.sum(F.col("b") * F.col("x")).alias("w"))
+    back = image.join(rows, "j").groupBy("i", F.col("col_id").alias("edge_id")).agg(F.sum(F.col("w") * F.col("x")).alias("v"))
+    return back.select("i", "edge_id", (F.round("v", 7) + 0.0).alias("v"))
+
+
+@query("gen_graph", _incidence_sql("1.0"))
 def graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squared row norms of a generated graph incidence matrix, which has orthonormal rows."""
-    return _off_identity(generators.graph_incidence(spark, 12, 40, seed=11)).filter("i = j").select("i", "v")
+    """The incidence matrix that a generated graph's orthonormal rows give back."""
+    return _row_space(generators.random_edges(spark, 13, 40, seed=11), generators.graph_incidence(spark, 12, 40, seed=11), None)
 
 
-@query("gen_weighted_graph", "SELECT CAST(i AS INTEGER) AS i, CAST(1 AS DOUBLE) AS v FROM range(12) AS a(i)")
+@query("gen_weighted_graph", _incidence_sql("1 - " + uniform_sql(11, 100, 0, "edge_id")))
 def weighted_graph_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _off_identity(generators.weighted_graph_incidence(spark, 12, 40, seed=11)).filter("i = j").select("i", "v")
+    return _row_space(generators.random_edges(spark, 13, 40, seed=11), generators.weighted_graph_incidence(spark, 12, 40, seed=11), 1 - uniform(11, 100, 0, F.col("edge_id")))
 
 
 @query("nation_graph", NATION_SQL)

@@ -47,8 +47,10 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-")
-    sc.setCheckpointDir(base)
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir isn't set; on a cluster it names the folder that all executors share")
+    sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def materialize(df: DataFrame, what: str = "stage") -> DataFrame:

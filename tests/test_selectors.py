@@ -101,6 +101,21 @@ def test_derandomized_volume_minimises_the_conditional_mean():
             assert mean(picks[: t + 1], k) <= best * (1 + 1e-7)
 
 
+def test_distributed_forms_check_the_contract_and_the_start(spark):
+    x = np.random.default_rng(8).normal(size=(20, 60))
+    df = spark.createDataFrame([(j, x[:, j].tolist()) for j in range(60)], "col_id bigint, vec array<double>")
+    for name in ("random columns", "leverage scores"):
+        for k in (10, 61):
+            with pytest.raises(ValueError):
+                select_subset(df, k, name, path="distributed")
+    with pytest.raises(ValueError):
+        select_subset(df, 30, "volume add-remove", path="distributed", initialization="advanced")
+    for init in ("cpqr", "greedy"):
+        picks, swaps = run_kernel("volume add-remove", x, 25, c=1.0, initialization=init)
+        rows = select_subset(df, 25, "volume add-remove", path="distributed", c=1.0, initialization=init).collect()
+        assert {r["col_id"] for r in rows} == set(picks) and rows[0]["swap_count"] == swaps
+
+
 def test_contract_is_checked():
     for k in (2, 6):
         with pytest.raises(ValueError):
