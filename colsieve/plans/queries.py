@@ -265,9 +265,15 @@ def _greedy_sql(whitened: str, k: int) -> str:
     return ",".join([first, *(_add_sql(f"g{n}", f"c_{n}", f"c_{n + 1}", "l") for n in range(3, k))])
 
 
-def _exchange_sql(whitened: str, k: int, rounds: int, pair: str) -> str:
+def _lowest_sql(whitened: str, k: int) -> str:
+    """Common tables up to c_k: three pivots, then the lowest ids."""
+    return f"""{_greedy_sql(whitened, 3)},
+        c_{k} AS MATERIALIZED (SELECT col_id FROM c_3 UNION ALL (SELECT col_id FROM w0 WHERE col_id NOT IN (SELECT col_id FROM c_3) ORDER BY col_id LIMIT {k - 3}))"""
+
+
+def _exchange_sql(whitened: str, k: int, rounds: int, pair: str, start: Callable[[str, int], str] = _greedy_sql) -> str:
     """k columns and the exchanges that grew the volume; a round that doesn't grow it changes nothing, nor do those that follow."""
-    parts, at = [_greedy_sql(whitened, k), f"n_0 AS (SELECT 0 AS swaps), e_0 AS MATERIALIZED (SELECT col_id FROM c_{k})"], "e_0"
+    parts, at = [start(whitened, k), f"n_0 AS (SELECT 0 AS swaps), e_0 AS MATERIALIZED (SELECT col_id FROM c_{k})"], "e_0"
     for t in range(rounds):
         parts.append(_inverse_sql(f"x{t}", at))
         parts.append(pair.format(t=t, at=at))
@@ -351,7 +357,8 @@ for _key, _name, _k, _sql in [
 ]:
     query(_key, _sql)(_selection(_name, profile_matrix, _k))
 for _key, _name, _pair in (("dominant_profile", "dominant", _BEST_PAIR), ("volume_add_remove_profile", "volume add-remove", _ADD_THEN_DROP)):
-    query(_key, _exchange_sql(_PROFILE_PIVOTS, 5, 8, _pair))(_selection(_name, profile_matrix, 5, ("col_id", "swap_count"), c=1.0, initialization="greedy"))
+    for _init, _start, _k in (("greedy", _greedy_sql, 5), ("cpqr", _lowest_sql, 9)):
+        query(f"{_key}_{_init}", _exchange_sql(_PROFILE_PIVOTS, _k, 10, _pair, _start))(_selection(_name, profile_matrix, _k, ("col_id", "swap_count"), c=1.0, initialization=_init))
 query("rect_maxvol_profile", ",".join([_exchange_sql(_PROFILE_PIVOTS, 3, 8, _BEST_PAIR).rsplit(" SELECT col_id, CAST(swaps", 1)[0] + ", c_3r AS (SELECT col_id FROM e_8)", _add_sql("m3", "c_3r", "c_4r", "l"), _add_sql("m4", "c_4r", "c_5r", "l")]) + " SELECT col_id FROM c_5r")(
     _selection("rect-maxvol", profile_matrix, 5, c=1.0)
 )
