@@ -252,9 +252,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, window: int = WINDOW
     body = F.expr(f"substring(cast(__text AS binary), first + 1, last - first + {length})")
     keyed = with_filter(texts, key_filter(wanted, "row", "tag"), "row", "tag").filter("__may").drop("__may")
     level = materialize(keyed.join(wanted, ["row", "tag"]).select("core", F.lit(0).alias("lo"), F.lit(window).alias("hi"), "large", "open", *RANGE, "lead", body.alias("bytes")), "open")
+    small = []
     while True:
-        small = level.filter("NOT large").repartition(n, "core").sortWithinPartitions("core")
-        found.append(_local_repeats(small, length))
+        small.append(level.filter("NOT large").select("core", "open", *RANGE, "bytes"))
         large = level.filter("large")
         if large.isEmpty():
             break
@@ -264,7 +264,9 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, window: int = WINDOW
         repeated = materialize(kinds.filter("NOT single AND any").select("core", "context"), "repeated")
         found.append(halved.filter("open").join(repeated, ["core", "context"], "left_semi").select(*RANGE))
         level = materialize(_undecided(kinds.select("core", F.expr("single AND any").alias("open"), "one.*"), group_rows), "open")
-    return functools.reduce(DataFrame.unionByName, found)
+    # Equal strings share their level and core, so one pass sorts the groups of all levels.
+    groups = functools.reduce(DataFrame.unionByName, small).repartition(n, "core").sortWithinPartitions("core")
+    return functools.reduce(DataFrame.unionByName, [*found, _local_repeats(groups, length)])
 
 
 def _undecided(kinds: DataFrame, group_rows: int) -> DataFrame:
