@@ -14,8 +14,8 @@ from colsieve.functions.rng import uniform, uniform_sql
 from colsieve.operators import distributed
 from colsieve.operators.registry import gather, pad_selection, register_sql, secular_eigs, select_subset
 from colsieve.plans import grid, metrics, prep, stats, tt
-from colsieve.session import ship_package
-from colsieve.sources import generators
+from colsieve.session import shared_dir, ship_package
+from colsieve.sources import files, generators
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -375,7 +375,21 @@ def select_subset_sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 SECULAR_CASES = [("distinct", [1.0, 2.0, 4.0], [0.5, 1.0, 2.0]), ("zero_v", [1.0, 2.0, 3.0], [0.0, 1.0, 0.0]), ("repeated_d", [1.0, 1.0, 2.0], [1.0, 2.0, 1.0]), ("zero_d", [0.0, 0.0, 0.0], [1.0, 2.0, 2.0]), ("one", [3.0], [2.0]), ("ramp", [float(i) for i in range(1, 21)], [1 / (i + 1) for i in range(20)])]
 
 
-@query("secular_eigs")
+#: By the inertia of diag(d) - x + v v^T: of its eigenvalues, as many are below x as there are d below x, less one where 1 + sum of v^2 / (d - x) isn't positive.
+#: The eigenvalue with number idx is bisected between the least d and the largest plus the sum of v^2; d equal to x count as just above.
+SECULAR_SQL = """WITH RECURSIVE cases(name, d, v) AS (VALUES {rows}),
+s(name, idx, step, d, v, lo, hi) AS (
+  SELECT name, i, 0, d, v, list_min(d), list_max(d) + list_sum(list_transform(v, lambda e: e * e)) FROM cases, LATERAL (SELECT unnest(range(len(d))) AS i)
+  UNION ALL
+  SELECT name, idx, step + 1, d, v, CASE WHEN below <= idx THEN x ELSE lo END, CASE WHEN below <= idx THEN hi ELSE x END FROM (
+    SELECT *, len(list_filter(d, lambda e: e < x)) - CASE WHEN 1 + list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN v[i] = 0 THEN 0 WHEN d[i] = x THEN 1e300 ELSE v[i] * v[i] / (d[i] - x) END)) > 0 THEN 0 ELSE 1 END AS below
+    FROM (SELECT *, (lo + hi) / 2 AS x FROM s WHERE step < 80)))
+SELECT name AS "case", CAST(idx AS INTEGER) AS idx, round((lo + hi) / 2, 9) AS eig FROM s WHERE step = 80""".format(
+    rows=", ".join(f"('{name}', {d}::DOUBLE[], {v}::DOUBLE[])" for name, d, v in SECULAR_CASES)
+)
+
+
+@query("secular_eigs", SECULAR_SQL)
 def secular_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     cases = spark.createDataFrame(SECULAR_CASES, "case string, d array<double>, v array<double>")
@@ -495,10 +509,10 @@ def grid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.run_grid(spark, GRID).drop("wall_time_ms")
 
 
-def results_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deterministic results table from lineitem: algorithm, k, trial, metrics."""
+def results_table(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """A deterministic results table from lineitem: algorithm, k, metrics, more."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select(F.col("l_returnflag").alias("algorithm"), F.col("l_linenumber").cast("bigint").alias("k"), F.col("l_discount").alias("pinv_spectral_norm_ratio"), F.col("l_tax").alias("volume_ratio"), (F.col("l_suppkey") % 9 - 1).alias("swap_count"))
+    return li.select(F.col("l_returnflag").alias("algorithm"), F.col("l_linenumber").cast("bigint").alias("k"), F.col("l_discount").alias("pinv_spectral_norm_ratio"), F.col("l_tax").alias("volume_ratio"), (F.col("l_suppkey") % 9 - 1).alias("swap_count"), *more)
 
 
 RESULTS_SQL = "SELECT l_returnflag AS algorithm, CAST(l_linenumber AS BIGINT) AS k, l_discount AS pinv_spectral_norm_ratio, l_tax AS volume_ratio, l_suppkey % 9 - 1 AS swap_count FROM lineitem"
@@ -536,6 +550,64 @@ def union_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.union_results([r, r], ["R", "N"]).groupBy("algorithm", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("export_results_csv", f"SELECT algorithm, k, CAST(coalesce(swap_count, -1) AS BIGINT) AS swap_count, count(*) AS n, round(sum(pinv_spectral_norm_ratio), 6) AS total FROM ({RESULTS_SQL}) GROUP BY ALL")
+def export_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as CSV by experiment and algorithm, read again; an untracked swap count comes back as -1."""
+    path = shared_dir(spark, "results-csv")
+    files.export_csv(_full_results(spark, sf_dir), path)
+    back = spark.read.option("header", True).schema(", ".join(f"{c} {'bigint' if c in ('k', 'swap_count') else 'double'}" for c in files.CSV_COLUMNS) + ", algorithm string").csv(path)
+    return back.groupBy("algorithm", "k", "swap_count").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pinv_spectral_norm_ratio"), 6).alias("total"))
+
+
+@query("experiment_index", "SELECT DISTINCT 'flag ' || l_linestatus AS experiment FROM lineitem")
+def index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "results")
+    files.write_results(_full_results(spark, sf_dir), path)
+    return files.experiment_index(spark, path)
+
+
+def _full_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """results_table with all columns of a grid's results, an experiment for each line status; swap counts of -1 are untracked."""
+    r = results_table(spark, sf_dir, F.concat(F.lit("flag "), "l_linestatus").alias("experiment"))
+    r = r.withColumn("swap_count", F.when(F.col("swap_count") >= 0, F.col("swap_count")))
+    kinds = dict(c.split() for c in grid.RESULT_SCHEMA.split(", "))
+    return r.select(*(c if c in r.columns else F.lit(0).cast(t).alias(c) for c, t in kinds.items()))
+
+
+def _file(spark: SparkSession, sf_dir: str, kind: str, value: str, head: list[str]) -> str:
+    """A text file of the given kind in the shared folder: the head's lines, then a line for each nation (25 of them, so one task writes it)."""
+    path = shared_dir(spark, "file") + "." + kind
+    lines = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("at"), F.expr(value).alias("value"))
+    top = spark.createDataFrame([(i - len(head), line) for i, line in enumerate(head)], "at int, value string")
+    top.unionByName(lines).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return path
+
+
+_NATION_LINE = "concat_ws(',', n_nationkey, n_regionkey, n_name, length(n_name))"
+_AT = "row_number() OVER (ORDER BY n_nationkey) - 1"
+
+
+@query("read_csv_matrix", f"SELECT col_id, CAST(unnest(range(3)) AS INTEGER) AS i, CAST(unnest([n_nationkey, n_regionkey, length(n_name)]) AS DOUBLE) AS v FROM (SELECT *, {_AT} AS col_id FROM nation)")
+def csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of a CSV file, by its extension: comments and blank lines go, tokens that aren't numbers drop out."""
+    x = files.read_matrix(spark, _file(spark, sf_dir, "csv", _NATION_LINE, ["# key, region, name, length", ""]))
+    return x.select("col_id", F.posexplode("vec").alias("i", "v"))
+
+
+@query("read_arff_matrix", f"SELECT col_id, CAST(unnest(range(4)) AS INTEGER) AS i, CAST(unnest([n_nationkey, n_regionkey, 0, length(n_name)]) AS DOUBLE) AS v FROM (SELECT *, {_AT} AS col_id FROM nation)")
+def arff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix of an ARFF file, by its extension: what isn't a number counts as 0."""
+    x = files.read_matrix(spark, _file(spark, sf_dir, "arff", _NATION_LINE, ["% nations", "@relation nations", "@attribute name string", "@DATA"]))
+    return x.select("col_id", F.posexplode("vec").alias("i", "v"))
+
+
+@query("matrix_from_file", f"SELECT col_id, CAST(unnest(range(3)) AS INTEGER) AS i, CAST(unnest([n_nationkey, n_regionkey, length(n_name)]) AS DOUBLE) AS v, n_regionkey + 0.5e0 AS y FROM (SELECT *, {_AT} AS col_id FROM nation)")
+def matrix_file_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The generator over a file and the target of another one."""
+    path, target = _file(spark, sf_dir, "data", _NATION_LINE, []), _file(spark, sf_dir, "csv", "cast(n_regionkey + 0.5D as string)", ["target"])
+    return generators.generate(spark, "matrix from file", path=path, target_path=target).select("col_id", F.posexplode("vec").alias("i", "v"), "y")
+
+
 @query("submatrix_gather", f"WITH s AS (SELECT vec_id FROM embeddings ORDER BY {uniform_sql(5, 0, 0, 'vec_id')}, vec_id LIMIT 70) SELECT vec_id AS col_id, CAST(unnest(range(64)) AS INTEGER) AS i, round(CAST(unnest(embedding) AS DOUBLE), 6) AS v FROM embeddings WHERE vec_id IN (SELECT vec_id FROM s)")
 def gather_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = embeddings_matrix(spark, sf_dir)

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -86,6 +87,16 @@ def test_grid_and_sinks(spark, tmp_path):
     assert [r[0] for r in files.experiment_index(spark, str(tmp_path / "out")).collect()] == ["two words"]
     files.export_csv(rows, str(tmp_path / "csv"))
     assert (tmp_path / "csv" / "experiment=two_words" / "algorithm=dual_set").exists()
+    single = grid.run_grid(spark, {"scalar": "float", "experiments": [config]}).toPandas()
+    assert len(single) == len(got) and not (single.pinv_spectral_norm_ratio == got.pinv_spectral_norm_ratio).all()
+    assert [len(grid.shares_of(list(range(101)), trials, 16)) for trials in (1, 4, 64)] == [16, 4, 1]
+    assert sorted(k for s in grid.shares_of(list(range(101)), 4, 16) for k in s) == list(range(101))
+    back = grid.run_to_folder(spark, {"experiments": [config, {"enabled": False}]}, str(tmp_path / "run")).toPandas()
+    keys = ["algorithm", "trial", "k"]
+    assert back.sort_values(keys).pinv_spectral_norm_ratio.tolist() == got.sort_values(keys).pinv_spectral_norm_ratio.tolist()
+    assert json.loads(spark.read.text(str(tmp_path / "run" / "config")).first()[0])["k_values"] == [3, 4, 5, 8]
+    assert [r[0] for r in spark.read.json(str(tmp_path / "run" / "index")).collect()] == ["two words"]
+    assert grid.run_to_folder(spark, {"experiments": []}, str(tmp_path / "none")).count() == 0
     for bad in ({"matrix": {"type": "zero matrix"}, "algorithms": []}, {"k_values": [1], "matrix": {"type": "zero matrix"}, "algorithms": [{"name": "dominant"}]}):
         with pytest.raises(ValueError):
             grid.Experiment.of(bad)
