@@ -6,6 +6,7 @@ recomputed from Y, so the plan of a pass doesn't grow with the picks. Whitened c
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Callable
 
@@ -14,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colsieve.functions.linalg import dot, matrix_literal, whiten
+from colsieve.functions.linalg import dot, gram_matrix, matrix_literal, whiten
 from colsieve.functions.rng import uniform
-from colsieve.session import materialize
+from colsieve.session import materialize, remove_dir, shared_dir
 
 
 def _vec() -> Column:
@@ -25,6 +26,8 @@ def _vec() -> Column:
 
 #: Matrix rows up to which Y is a literal of the plan; beyond, Arrow batches are multiplied with it in the tasks.
 LITERAL_ROWS = 16
+#: Doubles of the vectors that a pass of volume removal brings to the driver, and of pairs that a task of an exchange holds at once.
+HELD_DOUBLES = 4_000_000
 
 
 def quadratic(y: np.ndarray) -> Column:
@@ -145,17 +148,22 @@ def frobenius_selection(df: DataFrame, k: int, **_) -> DataFrame:
     return _result(q, "frobenius selection", k, chosen)
 
 
-def volume_add_remove(df: DataFrame, k: int, c: float = 1.0, initialization: str = "greedy", **_) -> DataFrame:
-    """Two picks for each exchange: the best addition by a pass, the best removal among the k chosen vectors.
-
-    initialization: "cpqr" (m pivots, then the lowest ids) or "greedy" (then the largest leverages); "advanced" is for the kernel only.
-    """
+def _exchangeable(df: DataFrame, k: int, c: float, initialization: str) -> tuple[DataFrame, int, int]:
     if c < 1:
         raise ValueError("c must be at least 1")
     if initialization not in ("cpqr", "greedy"):
         raise ValueError(f"the distributed form starts from 'cpqr' or 'greedy', not from {initialization!r}")
     q, m, n = _prepared(df)
     _checked(m, n, k)
+    return q, m, n
+
+
+def _swap_cap(m: int, k: int, c: float) -> float:
+    return math.inf if c == 1 else math.ceil(2 * m * math.log(k) / math.log(c))
+
+
+def _start(q: DataFrame, m: int, k: int, initialization: str) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """k ids, their vectors and Y: m pivots, then the lowest ids ("cpqr") or the largest leverages ("greedy")."""
     chosen, vectors = _cpqr(q, m)
     if initialization == "cpqr":
         rest = _outside(q, chosen).orderBy("col_id").limit(k - m).collect()  # k vectors are held anyway
@@ -168,7 +176,17 @@ def volume_add_remove(df: DataFrame, k: int, c: float = 1.0, initialization: str
         y = y - np.outer(u, u) / (1 + float(v @ u))
         chosen.append(i)
         vectors.append(v)
-    cap, swaps = math.inf if c == 1 else math.ceil(2 * m * math.log(k) / math.log(c)), 0
+    return chosen, vectors, y
+
+
+def volume_add_remove(df: DataFrame, k: int, c: float = 1.0, initialization: str = "greedy", **_) -> DataFrame:
+    """Two picks for each exchange: the best addition by a pass, the best removal among the k chosen vectors.
+
+    initialization: "cpqr" (m pivots, then the lowest ids) or "greedy" (then the largest leverages); "advanced" is for the kernel only.
+    """
+    q, m, n = _exchangeable(df, k, c, initialization)
+    chosen, vectors, y = _start(q, m, k, initialization)
+    cap, swaps = _swap_cap(m, k, c), 0
     while swaps < cap and len(chosen) < n:
         i, v, gain = _pick(_outside(q, chosen), quadratic(y))
         u = y @ v
@@ -216,18 +234,90 @@ def _batched(y: np.ndarray) -> Column:
     return form(_vec())
 
 
-def _exchange(solve: np.ndarray) -> Column:
-    """The largest squared coefficient of a column on those of a square, given its inverse, and where it is."""
+def _exchange(y: np.ndarray, held: np.ndarray, loss: np.ndarray) -> Column:
+    """The largest gain of a column in place of a held one, (1 + v^T Y v) * loss + (held Y v)^2, and which one goes."""
+    left = held @ y
 
     @F.arrow_udf("struct<gain double, at int>")
     def largest(v: pa.Array) -> pa.Array:
-        gain = (_rows(v) @ solve.T) ** 2
-        at = np.round(gain, 9).argmax(axis=1)
-        return pa.StructArray.from_arrays([pa.array(gain[np.arange(len(at)), at]), pa.array(at.astype(np.int32))], ["gain", "at"])
+        x = _rows(v)
+        gain, at = np.empty(len(x)), np.empty(len(x), np.int32)
+        step = max(1, HELD_DOUBLES // len(held))
+        for s in range(0, len(x), step):
+            part = x[s : s + step]
+            pairs = np.outer(1 + np.einsum("ij,ij->i", part @ y, part), loss) + (part @ left.T) ** 2
+            at[s : s + step] = np.round(pairs, 9).argmax(axis=1)
+            gain[s : s + step] = pairs[np.arange(len(part)), at[s : s + step]]
+        return pa.StructArray.from_arrays([pa.array(gain), pa.array(at)], ["gain", "at"])
 
     return largest(_vec())
 
 
+def _best_exchange(q: DataFrame, chosen: list[int], score: Column) -> tuple[int, np.ndarray, float, int]:
+    """(col_id, vec, gain, position of the held column) of the best pair; ties go to the lowest held id, then the lowest new one."""
+    scored = _outside(q, chosen).select("col_id", "vec", score.alias("e"))
+    first = F.struct(F.round("e.gain", 9).alias("gain"), (-F.col("e.at")).alias("at"), (-F.col("col_id")).alias("i"))
+    row = scored.agg(F.max_by(F.struct("col_id", "vec", "e"), first).alias("r")).first()["r"]
+    return row["col_id"], np.array(row["vec"]), row["e"]["gain"], row["e"]["at"]
+
+
+def dominant(df: DataFrame, k: int, c: float = 1.0, initialization: str = "greedy", **_) -> DataFrame:
+    """A pass for each exchange: every column outside meets the k chosen ones in its task, and the best pair is one aggregate."""
+    q, m, n = _exchangeable(df, k, c, initialization)
+    chosen, vectors, _y = _start(q, m, k, initialization)
+    cap, swaps = _swap_cap(m, k, c), 0
+    while swaps < cap and len(chosen) < n:
+        inside = sorted(range(k), key=lambda p: chosen[p])
+        held = np.array([vectors[p] for p in inside])
+        y = np.linalg.inv(held.T @ held)
+        i, v, gain, at = _best_exchange(q, chosen, _exchange(y, held, 1 - np.einsum("ij,ij->i", held @ y, held)))
+        if gain <= c * (1 + 1e-10):
+            break
+        chosen[inside[at]], vectors[inside[at]] = i, v
+        swaps += 1
+    return _result(q, "dominant", k, chosen, swaps)
+
+
+def volume_removal(df: DataFrame, k: int, **_) -> DataFrame:
+    """Removes the column of least leverage until k are left, thousands a pass and still one after another.
+
+    Leverages only grow while columns go, so those of the pass are lower bounds. The least HELD_DOUBLES / m of
+    them come to the driver and go from a heap, for as long as the least one, brought up to date, is below all that
+    the pass left behind. The survivors are then written, and the table before is removed.
+    """
+    rest, m, n = _prepared(df)
+    _checked(m, n, k)
+    spark, left, before = df.sparkSession, n - k, None
+    held = max(2, HELD_DOUBLES // m)
+    while left:
+        y = np.linalg.inv(gram_matrix(rest))
+        least = rest.select("col_id", "vec", F.round(quadratic(y * n), 9).alias("s")).orderBy("s", "col_id").limit(held).toArrow()
+        x = _rows(least.column("vec").combine_chunks())
+        heap = list(zip(least.column("s").to_pylist(), least.column("col_id").to_pylist(), range(len(x)), strict=True))
+        behind = heap.pop()[:2] if len(heap) == held else (math.inf, 0)
+        gone: list[tuple[int]] = []
+        while heap and len(gone) < left:
+            _stale, i, p = heapq.heappop(heap)
+            u = y @ x[p]
+            own = float(x[p] @ u)
+            now = (round(own * n, 9), i)
+            if heap and heap[0][:2] < now:
+                heapq.heappush(heap, (*now, p))
+            elif gone and now >= behind:
+                break
+            else:
+                y = y + np.outer(u, u) / (1 - own)
+                gone.append((i,))
+        left -= len(gone)
+        path = shared_dir(spark, "survivors")
+        rest.join(F.broadcast(spark.createDataFrame(gone, "col_id bigint")), "col_id", "left_anti").write.parquet(path)  # at most `held` ids
+        rest = spark.read.schema(rest.schema).parquet(path)
+        if before:
+            remove_dir(spark, before)
+        before = path
+    return _result(rest, "volume removal", k, [r["col_id"] for r in rest.select("col_id").orderBy("col_id").collect()])
+
+
 def dual_set(df: DataFrame, k: int, **_) -> DataFrame:
     """One pick for each of k rounds. Columns without weight share the upper barrier's term; those with weight are scored on the driver."""
     q, m, n = _prepared(df)
@@ -281,17 +371,15 @@ def rect_maxvol(df: DataFrame, k: int, c: float = 1.0, **_) -> DataFrame:
         left = left - np.outer(r, r) / float(r @ r)
         chosen.append(i)
         vectors.append(v)
-    cap, swaps = math.inf if c == 1 else math.ceil(2 * m * math.log(m) / math.log(c)), 0
+    cap, swaps = _swap_cap(m, m, c), 0
     while swaps < cap:
         inside = sorted(range(m), key=lambda p: chosen[p])
-        solve = np.linalg.inv(np.array([vectors[p] for p in inside]).T)
-        scored = _outside(q, chosen).select("col_id", "vec", _exchange(solve).alias("e"))
-        first = F.struct(F.round("e.gain", 9).alias("gain"), (-F.col("e.at")).alias("at"), (-F.col("col_id")).alias("i"))
-        found = scored.agg(F.max_by(F.struct("col_id", "vec", "e"), first).alias("r")).first()["r"]
-        if found["e"]["gain"] <= c * (1 + 1e-10):
+        held = np.array([vectors[p] for p in inside])
+        solve = np.linalg.inv(held.T)
+        i, v, gain, at = _best_exchange(q, chosen, _exchange(solve.T @ solve, held, np.zeros(m)))
+        if gain <= c * (1 + 1e-10):
             break
-        p = inside[found["e"]["at"]]
-        chosen[p], vectors[p] = found["col_id"], np.array(found["vec"])
+        chosen[inside[at]], vectors[inside[at]] = i, v
         swaps += 1
     x = np.array(vectors).T
     return _result(q, "rect-maxvol", k, _grown(q, chosen, np.linalg.inv(x @ x.T), k, _batched)[0])
@@ -303,6 +391,8 @@ _FORMS: dict[str, Callable[..., DataFrame]] = {
     "forward iterative volume sampling": forward_volume,
     "frobenius selection": frobenius_selection,
     "volume add-remove": volume_add_remove,
+    "dominant": dominant,
+    "volume removal": volume_removal,
     "greedy volume": greedy_volume,
     "dual set": dual_set,
     "rect-maxvol": rect_maxvol,
@@ -311,5 +401,5 @@ _FORMS: dict[str, Callable[..., DataFrame]] = {
 
 def distributed_selector(name: str) -> Callable[..., DataFrame]:
     if name not in _FORMS:
-        raise ValueError(f"{name!r} has no distributed form; those with one are {', '.join(sorted(_FORMS))}: use one of them (volume add-remove has the guarantee of dominant) or a sample")
+        raise ValueError(f"{name!r} has no distributed form; those with one are {', '.join(sorted(_FORMS))}: use one of them or a sample")
     return _FORMS[name]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,17 @@ SCHEMA = "core int, a int, i int, c int, v double"
 def train_table(spark: SparkSession, cores: list[np.ndarray]) -> DataFrame:
     """Table of cores given as arrays (left, mode, right)."""
     check_ranks([g.shape for g in cores])
-    rows = [(k, int(a), int(i), int(c), float(g[a, i, c])) for k, g in enumerate(cores) for a, i, c in np.ndindex(*g.shape)]
-    return spark.createDataFrame(rows, SCHEMA)
+    return spark.createDataFrame(_entries(cores, ["core", "a", "i", "c"], pa.int32()))
+
+
+def _entries(arrays: list[np.ndarray], names: list[str], kind: pa.DataType) -> pa.Table:
+    """Coordinates (number of the array first) and values v of arrays of three axes, as Arrow columns."""
+    parts = []
+    for k, g in enumerate(arrays):
+        at = [np.full(g.size, k), *(x.ravel() for x in np.indices(g.shape))]
+        columns = [pa.array(at[0], pa.int32()), *(pa.array(x, kind) for x in at[1:]), pa.array(np.asarray(g, float).ravel())]
+        parts.append(pa.Table.from_arrays(columns, [*names, "v"]))
+    return pa.concat_tables(parts)
 
 
 def check_ranks(shapes: list[tuple[int, int, int]]) -> None:
@@ -122,8 +132,9 @@ def collect_cores(train: DataFrame) -> list[np.ndarray]:
     if any(np.prod(s, dtype=float) > MAX_CORE for s in sizes.values()):
         raise ValueError("a core is too large for a sweep")
     cores = [np.zeros(sizes[k]) for k in sorted(sizes)]
-    for r in train.collect():
-        cores[r["core"]][r["a"], r["i"], r["c"]] = r["v"]
+    for at, k in enumerate(sorted(sizes)):  # one core at a time, as Arrow columns
+        a, i, c, v = (x.to_numpy() for x in train.filter(F.col("core") == k).select("a", "i", "c", "v").toArrow().columns)
+        cores[at][a, i, c] = v
     return cores
 
 
@@ -284,5 +295,5 @@ def _left_row(cores: list[np.ndarray], skeleton: Skeleton, bond: int, parent: in
 
 
 def fibers_table(spark: SparkSession, slabs: list[np.ndarray], skel_id: int = 0) -> DataFrame:
-    rows = [(skel_id, k, int(p), int(i), int(q), float(s[p, i, q])) for k, s in enumerate(slabs) for p, i, q in np.ndindex(*s.shape)]
-    return spark.createDataFrame(rows, "skel_id bigint, core int, left_node bigint, mode bigint, right_node bigint, v double")
+    entries = spark.createDataFrame(_entries(slabs, ["core", "left_node", "mode", "right_node"], pa.int64()))
+    return entries.select(F.lit(skel_id).cast("bigint").alias("skel_id"), "*")

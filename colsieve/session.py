@@ -53,6 +53,12 @@ def ensure_checkpoint(spark: SparkSession) -> None:
     sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
+def remove_dir(spark: SparkSession, uri: str) -> None:
+    """Deletes a folder that shared_dir() named, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, what: str = "stage") -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder and reread it.
 

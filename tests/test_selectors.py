@@ -157,7 +157,7 @@ def test_distributed_forms_agree_with_kernels(spark):
         got = {r["col_id"] for r in select_subset(df, 6, name, path="distributed", seed=3).collect()}
         assert got == set(run_kernel(name, x, 6, seed=3)[0]), name
     with pytest.raises(ValueError):
-        select_subset(df, 6, "volume removal", path="distributed")
+        select_subset(df, 6, "frobenius removal", path="distributed")
 
 
 def test_selectors_of_the_barrier_and_maxvol_run_beyond_the_kernel_limit(spark, monkeypatch):
@@ -172,6 +172,27 @@ def test_selectors_of_the_barrier_and_maxvol_run_beyond_the_kernel_limit(spark,
             assert [r["col_id"] for r in select_subset(df, k, name).orderBy("rank").collect()] == run_kernel(name, x, k)[0], (name, k)
 
 
+def test_dominant_and_volume_removal_run_beyond_the_kernel_limit(spark, monkeypatch):
+    from colsieve.operators import distributed, registry
+
+    x = np.random.default_rng(11).normal(size=(4, 70))
+    x[:, 30:40] = 3 * x[:, :10]
+    x[:, 60:] = x[:, 50:60]  # ties
+    df = as_frame(spark, x)
+    monkeypatch.setattr(registry, "KERNEL_DOUBLES", 100)
+    for c, init in ((1.0, "greedy"), (1.0, "cpqr"), (1.5, "cpqr")):
+        picks, swaps = run_kernel("dominant", x, 9, c=c, initialization=init)
+        rows = select_subset(df, 9, "dominant", c=c, initialization=init).orderBy("rank").collect()
+        assert [r["col_id"] for r in rows] == picks and rows[0]["swap_count"] == swaps
+    assert select_subset(df, 70, "dominant").count() == 70
+    with pytest.raises(ValueError):
+        select_subset(df, 9, "dominant", c=0.5)
+    for held in (8, 80, 4_000_000):  # 2 columns a pass, 20, and all at once
+        monkeypatch.setattr(distributed, "HELD_DOUBLES", held)
+        for k in (55, 70) if held == 8 else (4, 9):
+            assert [r["col_id"] for r in select_subset(df, k, "volume removal").orderBy("rank").collect()] == run_kernel("volume removal", x, k)[0], (held, k)
+
+
 def test_many_matrices_and_user_selectors(spark):
     register_selector("test last", lambda x, k, ids, **_: list(range(x.shape[1] - k, x.shape[1])))
     assert not register_selector("test last", lambda *_: [])
