@@ -38,9 +38,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from colsieve.llm.rules import BASE, FULL, fails, ledger
+    from colsieve.llm.rules import BASE, FULL, fails, stored_ledger
 
-    rows = ledger(table(spark, sf_dir, "documents"))
+    rows = stored_ledger(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), (~fails(FULL)).alias("kept"), "failed_bits")
 
 

@@ -2,7 +2,8 @@
 
 Every rule is measured and evaluated once per text; the ledger keeps the measurements and one
 failure bit per rule. A policy is a named, versioned mask of rules: applying one is a bitwise AND,
-so changing policy never reads a text again, and ablations are bitwise aggregates of the ledger.
+so changing policy never reads a text again, and ablations are bitwise aggregates of the ledger. stored_ledger
+writes it, so that every policy, version and ablation reads the same narrow table.
 
 Null and empty texts have no words and fail the base rules. Texts of any length are measured
 whole; rows are judged one by one, so repeated rows get equal verdicts.
@@ -18,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
+from colsieve.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_piped"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts"]
 
 
 @dataclass(frozen=True)
@@ -58,8 +60,17 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("too_few_words", "repeated_words"))
+BASE_2 = Policy("base", 2, (*BASE.rules, "duplicate_lines"))
 FULL = Policy("full", 1, tuple(r.name for r in RULES))
-POLICIES = {(p.name, p.version): p for p in (BASE, FULL)}
+POLICIES = {(p.name, p.version): p for p in (BASE, BASE_2, FULL)}
+
+
+def policy(name: str, version: int | None = None) -> Policy:
+    """The policy of that name and version, the newest one without a version."""
+    known = [v for n, v in POLICIES if n == name]
+    if not known or version not in (None, *known):
+        raise ValueError(f"no such policy: {name!r}, version {version}")
+    return POLICIES[name, version or max(known)]
 
 
 def repeated_window_words(words: list[bytes], width: int = 3) -> int:
@@ -101,7 +112,6 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
         repeated_window_words(words),
         len(lines),
         sum(w.endswith(b"!!") for w in words) if b"!!" in raw else 0,
-        raw.count(b"|"),
     )
 
 
@@ -126,6 +136,11 @@ def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return measured.withColumn("failed_bits", failure_bits()).withColumnRenamed("__id", id_col)
 
 
+def stored_ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger, written to the shared folder and read again: later plans don't touch a text."""
+    return materialize(ledger(df, id_col, text_col), "ledger")
+
+
 def passing(df: DataFrame, policy: Policy, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that pass the policy."""
     prepare(df.sparkSession)
@@ -140,6 +155,11 @@ def passing(df: DataFrame, policy: Policy, text_col: str = "text") -> DataFrame:
     return carried.restore(measured.withColumn("failed_bits", failure_bits()).filter(~fails(policy)))
 
 
+def verdicts(ledger_df: DataFrame, policies: list[Policy]) -> DataFrame:
+    """The ledger with a boolean column <name>_v<version> for each policy: whether the row passes it."""
+    return ledger_df.select("*", *((~fails(p)).alias(f"{p.name}_v{p.version}") for p in policies))
+
+
 def fails(policy: Policy) -> Column:
     """Whether a ledger row fails the policy."""
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask)) != 0

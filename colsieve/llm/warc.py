@@ -3,8 +3,9 @@
 A bundle is one file of independent Zstandard frames. Records are grouped into frames and never
 straddle two. Two skippable frames end the file: an index that maps record ids to (frame, offset
 within the frame, length), and the footer seek table of the seekable format, from which any frame
-is found and decompressed alone. Bundles are written straight to shared storage under a temporary
-name and then moved, so a task that is run again replaces its own file by the same one.
+is found and decompressed alone. Bundles are written straight to shared storage under a name of their
+own for each attempt of a task. Only the manifest says which count: a task that is run again writes other files, and those of a
+lost or speculative attempt are never read. Nothing is moved or overwritten, which object stores couldn't do at once.
 
 Payload digests cover the whole payload. Of records with equal payloads of at least 100 bytes the
 one with the smallest id is a response and the others are revisits that refer to it; rows that share
@@ -176,10 +177,9 @@ def write_archives(df: DataFrame, uri: str, id_col: str = "page_id", url_col: st
 
         def close() -> None:
             data = writer.finish()
-            name = f"bundle-{task:06d}-{len(made):05d}.warc.zst"
-            with fs.open_output_stream(f"{base}/.{name}.{attempt}") as f:
+            name = f"bundle-{task:06d}-{len(made):05d}-{attempt}.warc.zst"
+            with fs.open_output_stream(f"{base}/{name}", compression=None) as f:  # else the name would have it compressed again
                 f.write(data)
-            fs.move(f"{base}/.{name}.{attempt}", f"{base}/{name}")
             made.append((f"{uri}/{name}", records, len(data)))
 
         for batch in batches:

@@ -127,6 +127,9 @@ def test_warc_round_trip(spark):
     reader = next(b for b in (warc.open_bundle(r["bundle"]) for r in manifest.collect()) if "7" in [e[0] for e in b.index])
     assert warc.parse_record(reader.get("7"))[1] == ("é\r\n\r\n" * 50).encode()
     assert warc.round_trip(df.limit(0)).count() == 0
+    again = warc.write_archives(df.filter("page_id IS NOT NULL"), uri, bundle_bytes=500)  # into the same folder: no file is replaced, each manifest names its own
+    assert not {r["bundle"] for r in again.collect()} & {r["bundle"] for r in manifest.collect()}
+    assert sorted(map(tuple, warc.read_archives(again).collect()), key=str) == sorted(map(tuple, warc.read_archives(manifest).collect()), key=str)
 
 
 def test_warc_of_an_id_on_several_payloads(spark):
@@ -297,7 +300,17 @@ def test_rule_ledger(spark, docs, texts):
         for r in rows:
             assert bool(r["failed_bits"] & 1) == (r["n_words"] < 50) and bool(r["failed_bits"] & 2) == (100 * r["n_repeat_words"] > 50 * r["n_words"])
     assert rules.passing(extra, rules.FULL).columns == extra.columns and rules.passing(extra, rules.BASE).count() == 4
-    ledger = rules.ledger(docs).cache()
+    ledger = rules.stored_ledger(docs)
+    measured = ledger.collect()
+    assert Counter(map(tuple, measured)) == Counter(map(tuple, rules.ledger(docs).collect()))
+    versions = [rules.policy("base", 1), rules.policy("base"), rules.policy("full")]
+    assert [p.version for p in versions] == [1, 2, 1]
+    for r in rules.verdicts(ledger, versions).collect():
+        base = r["n_words"] >= 50 and 100 * r["n_repeat_words"] <= 50 * r["n_words"]
+        assert (r["base_v1"], r["base_v2"], r["full_v1"]) == (base, base and 100 * r["n_dup_lines"] <= 50 * r["n_lines"], r["failed_bits"] == 0)
+    with pytest.raises(ValueError):
+        rules.policy("base", 9)
+    assert rules.stored_ledger(docs.limit(0)).count() == 0
     for r in rules.ablation(ledger, rules.FULL).collect():
         without = rules.Policy("t", 1, tuple(n for n in rules.FULL.rules if n != r["rule"]))
         assert r["kept_without"] == ledger.filter(~rules.fails(without)).count()
