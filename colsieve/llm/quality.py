@@ -13,7 +13,9 @@ texts have no features and get the bias alone. Without any rated text the model
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import tempfile
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +26,13 @@ from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import _Memo
 from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
+from colsieve.session import materialize
 
 BUCKETS = 1 << 21
 #: Most rated texts that a fit reads.
 SAMPLE_ROWS = 12_000
+#: Features that a fit holds in memory at a time; the rest of the sample stays in a file of the driver.
+CHUNK_FEATURES = 1 << 21
 #: A text is kept if its probability of the top grade is at least this.
 KEEP_TAIL = 0.45
 
@@ -79,34 +84,91 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - self.thresholds, -40, 40)))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int = BUCKETS, rounds: int = 300, l1: float = 1e-3, l2: float = 1e-6, least_rows: int = 8) -> OrdinalModel:
+class FeatureRows:
+    """The buckets of rows one after another, in an unnamed file: a fit reads them in chunks, so its memory doesn't follow the texts' lengths."""
+
+    def __init__(self, rows: Iterable[np.ndarray] = ()):
+        self._file, self.lengths = tempfile.TemporaryFile(), array("q")  # noqa: SIM115
+        for row in rows:
+            self.add(row)
+
+    def __len__(self) -> int:
+        return len(self.lengths)
+
+    def add(self, *rows: np.ndarray) -> None:
+        for row in rows:
+            self._file.write(np.ascontiguousarray(row, np.int32).data)
+            self.lengths.append(len(row))
+
+    def chunks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, the rows' lengths, their buckets): whole rows of about CHUNK_FEATURES buckets."""
+        self._file.flush()
+        ends = np.cumsum(np.frombuffer(self.lengths, np.int64)) if self.lengths else np.zeros(0, np.int64)
+        at, done = 0, 0
+        while at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, done + CHUNK_FEATURES, "right")))
+            lengths = np.diff(ends[at:stop], prepend=done)
+            self._file.seek(4 * done)
+            yield at, lengths, np.frombuffer(self._file.read(4 * int(lengths.sum())), np.int32)
+            at, done = stop, int(ends[stop - 1])
+        self._file.seek(0, 2)
+
+    def columns(self, column: np.ndarray) -> FeatureRows:
+        """The rows with each bucket's column, without those whose column is negative."""
+        out = FeatureRows()
+        for _, lengths, buckets in self.chunks():
+            col = column[buckets]
+            ends = np.concatenate([[0], np.cumsum(col >= 0)])[np.concatenate([[0], np.cumsum(lengths)])]
+            out._file.write(col[col >= 0].astype(np.int32).data)
+            out.lengths.extend(np.diff(ends).tolist())
+        return out
+
+
+def fit_ordinal(rows: Iterable[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int = BUCKETS, rounds: int = 300, l1: float = 1e-3, l2: float = 1e-6, least_rows: int = 8) -> OrdinalModel:
     """Accelerated proximal gradient on the cumulative-link likelihood; features in fewer than least_rows rows are left out."""
-    if not len(rows):
+    held = rows if isinstance(rows, FeatureRows) else FeatureRows(rows)
+    if not len(held):
         return OrdinalModel(np.zeros(buckets), np.arange(n_grades - 1) - 50.0)
-    used, count = np.unique(np.concatenate(rows), return_counts=True)
-    used = used[count >= least_rows]
-    column = np.full(buckets, -1)
+    count = np.zeros(buckets, np.int64)
+    for _, _, found in held.chunks():
+        count += np.bincount(found, minlength=buckets)
+    used = np.flatnonzero(count >= least_rows)
+    column = np.full(buckets, -1, np.int32)
     column[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = column[np.concatenate(rows)]
-    owner, col = owner[col >= 0], col[col >= 0]
-    n, above = len(rows), grades[:, None] > np.arange(n_grades - 1)
+    held = held.columns(column)
+    del count, column
+    n, above = len(held), grades[:, None] > np.arange(n_grades - 1)
     weight = n / (n_grades * np.maximum(np.bincount(grades, minlength=n_grades), 1))
     weight = np.minimum(weight, 5)[grades]
 
-    def gradient(w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        s = np.bincount(owner, w[col], minlength=n)
-        p = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40)))
-        error = (p - above) * weight[:, None] / n
-        return np.bincount(col, error.sum(1)[owner], minlength=len(used)) + l2 * w, -error.sum(0), s
+    def by_column(value: Callable[[slice, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """Sums by column of a value of each row, which may depend on the chunk's rows, owners and columns."""
+        total = np.zeros(len(used))
+        for at, lengths, col in held.chunks():
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            total += np.bincount(col, value(slice(at, at + len(lengths)), owner, col)[owner], minlength=len(used))
+        return total
+
+    def gradient(w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        thresholds = np.zeros(n_grades - 1)
+
+        def error(rows: slice, owner: np.ndarray, col: np.ndarray) -> np.ndarray:
+            s = np.bincount(owner, w[col], minlength=rows.stop - rows.start)
+            p = 1 / (1 + np.exp(-np.clip(s[:, None] - t, -40, 40)))
+            e = (p - above[rows]) * weight[rows, None] / n
+            thresholds[:] -= e.sum(0)
+            return e.sum(1)
+
+        return by_column(error) + l2 * w, thresholds
 
     w, t = np.zeros(len(used)), np.linspace(-2, -1, n_grades - 1)
     # A diagonal step: the curvature of a weight is bounded by its rows' lengths.
-    length = np.bincount(owner, minlength=n)
-    step = 4.0 / np.maximum(np.bincount(col, (weight / n * (n_grades - 1) * np.sqrt(np.maximum(length, 1)))[owner], minlength=len(used)), 1e-12) / 8
+    length = np.frombuffer(held.lengths, np.int64)
+    curvature = weight / n * (n_grades - 1) * np.sqrt(np.maximum(length, 1))
+    step = 4.0 / np.maximum(by_column(lambda rows, owner, col: curvature[rows]), 1e-12) / 8
     v, u, k = w.copy(), t.copy(), 1.0
     for _ in range(rounds):
-        g, gt, _ = gradient(v, u)
+        g, gt = gradient(v, u)
         new = v - step * g
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         new_t = np.maximum.accumulate(u - 0.5 * gt)
@@ -140,9 +202,13 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([np.sort(features(raw)).tobytes() for raw in utf8(batch, "__text")], pa.binary())], ["id", "grade", "buckets"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    sample = map_batches(rows, run, f"id {id_type}, grade int, buckets binary").limit(sample_rows).collect()
-    sample.sort(key=lambda r: (r["id"], r["buckets"]))
-    return fit_ordinal([np.frombuffer(r["buckets"], np.int32) for r in sample], np.array([r["grade"] for r in sample], int), n_grades)
+    # Texts may be long: their features are written, then reach the driver a partition at a time and its file from there.
+    sample = materialize(map_batches(rows, run, f"id {id_type}, grade int, buckets binary").limit(sample_rows), "rated")
+    held, grades = FeatureRows(), array("q")
+    for r in sample.orderBy("id", "buckets").select("grade", "buckets").toLocalIterator():
+        held.add(np.frombuffer(r["buckets"], np.int32))
+        grades.append(r["grade"])
+    return fit_ordinal(held, np.array(grades, int), n_grades)
 
 
 def _scored(rows: DataFrame, names: list[str], schema: str, model: OrdinalModel) -> DataFrame:

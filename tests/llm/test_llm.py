@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -497,6 +498,21 @@ def test_ordinal_fit_orders_grades():
 # --- 9 ------------------------------------------------------------------------------------------
 
 
+def test_fit_holds_features_in_chunks(monkeypatch):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 3, 240)
+    x = [np.unique(np.append(rng.integers(0, 60_000, 30_000), 70_000 + g)).astype(np.int32) for g in y]
+    tracemalloc.start()
+    monkeypatch.setattr(quality, "CHUNK_FEATURES", 1 << 17)
+    chunked = quality.fit_ordinal(x, y, 3, buckets=1 << 17, rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * sum(map(len, x))  # owners, columns and weights of all features at once take 24 bytes for each
+    monkeypatch.setattr(quality, "CHUNK_FEATURES", 1 << 30)
+    whole = quality.fit_ordinal(x, y, 3, buckets=1 << 17, rounds=3)
+    assert np.allclose(chunked.weights, whole.weights, atol=1e-12) and np.allclose(chunked.thresholds, whole.thresholds, atol=1e-12)
+
+
 def test_sharding(spark, docs):
     for df in (docs, odd(spark), docs.limit(0), docs.withColumn("doc_id", F.lit(None).cast("bigint"))):
         rows = sharding.shard_by_bytes(df, 7).collect()
