@@ -435,6 +435,14 @@ def test_memos_are_bounded_in_bytes():
     assert len(memo) == 0 or max(map(len, memo)) < 10_000
 
 
+def test_memos_keep_what_is_asked_again():
+    made = Counter()
+    memo = bpe._Memo(lambda w: made.update([w]) or w * 2, 100_000)
+    for i in range(5000):
+        assert memo[b"often"] == b"oftenoften" and memo[b"%06d" % i] == b"%06d" % i * 2
+    assert made[b"often"] == 1 and made[b"000001"] == 1
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 
 
