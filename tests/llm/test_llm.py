@@ -443,6 +443,14 @@ def test_memos_keep_what_is_asked_again():
     assert made[b"often"] == 1 and made[b"000001"] == 1
 
 
+def test_memos_hold_values_of_every_kind():
+    """Numbers as near-duplicates keep them, tuples as the encoder and the classifier do."""
+    for compute in (xxhash.xxh3_64_intdigest, lambda w: tuple(w), lambda w: 0):
+        memo, keys = bpe._Memo(compute, 20_000), [b"%06d" % i for i in range(1000)]
+        assert [memo[k] for k in keys] == [compute(k) for k in keys] and 0 < len(memo) <= 10_000 // 100
+    assert neardup.word_hashes(keys).tolist() == [xxhash.xxh3_64_intdigest(k) for k in keys]
+
+
 # --- 8 ------------------------------------------------------------------------------------------
 
 
