@@ -33,6 +33,8 @@ BUCKETS = 1 << 21
 SAMPLE_ROWS = 12_000
 #: Features that a fit holds in memory at a time; the rest of the sample stays in a file of the driver.
 CHUNK_FEATURES = 1 << 21
+#: Bytes of features of a partition of the sample (or a single longer row), which reach the driver at a time.
+PART_BYTES = 16 << 20
 #: A text is kept if its probability of the top grade is at least this.
 KEEP_TAIL = 0.45
 
@@ -202,10 +204,13 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, sample_rows: i
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), pa.array([np.sort(features(raw)).tobytes() for raw in utf8(batch, "__text")], pa.binary())], ["id", "grade", "buckets"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    # Texts may be long: their features are written, then reach the driver a partition at a time and its file from there.
+    # Texts may be long: their features are written, then reach the driver a partition at a time and its file from there. A sort by
+    # range sends keys of its own to the driver, nearly all of so few rows; so they are ordered by a hash of the features.
     sample = materialize(map_batches(rows, run, f"id {id_type}, grade int, buckets binary").limit(sample_rows), "rated")
+    parts = 1 + (sample.agg(F.sum(F.length("buckets"))).first()[0] or 0) // PART_BYTES
+    order = ["id", F.xxhash64("buckets")]
     held, grades = FeatureRows(), array("q")
-    for r in sample.orderBy("id", "buckets").select("grade", "buckets").toLocalIterator():
+    for r in sample.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("grade", "buckets").toLocalIterator():
         held.add(np.frombuffer(r["buckets"], np.int32))
         grades.append(r["grade"])
     return fit_ordinal(held, np.array(grades, int), n_grades)

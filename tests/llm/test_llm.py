@@ -503,6 +503,24 @@ def test_quality_scores_equal_a_plain_evaluation(spark):
     assert {x["doc_id"] for x in quality.accepted(df, model).collect()} == {i for i in texts if got[i]["kept"]}
 
 
+def test_sample_reaches_the_driver_in_parts(spark, monkeypatch):
+    """Features come in the order of ids, about a part's bytes at a time, and the sort by range takes no sample of them."""
+    r = random.Random(6)
+    texts = {i: " ".join("".join(r.choices("abcdefghij", k=8)) for _ in range(1500)) for i in range(64)} | {64: None, 65: ""}
+    frame, taken, fitted = type(spark.range(0)), [], []
+    local = frame.toLocalIterator
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, *a, **b: taken.append(self) or local(self, *a, **b))
+    monkeypatch.setattr(quality, "fit_ordinal", lambda held, grades, n: fitted.append(([c.tolist() for _, _, c in held.chunks()], held.lengths.tolist(), grades.tolist())))
+    monkeypatch.setattr(quality, "PART_BYTES", 1 << 16, raising=False)
+    quality.train(spark.createDataFrame(list(texts.items())[::-1], "doc_id bigint, text string"), spark.createDataFrame([(i, i % 3) for i in texts], "doc_id bigint, grade int"))
+    rows = [np.sort(quality.features(t and t.encode())) for t in texts.values()]
+    assert fitted == [([np.concatenate(rows).tolist()], list(map(len, rows)), [i % 3 for i in texts])]
+    sizes = [x[1] for x in taken[0].groupBy(F.spark_partition_id()).agg(F.sum(F.length("buckets"))).collect()]
+    assert sum(sizes) > 16 << 16 and max(sizes) < 4 << 16
+    ranges = re.findall(r"rangepartitioning\(.*", taken[0]._jdf.queryExecution().executedPlan().toString())
+    assert ranges and not any("buckets" in re.sub(r"xxhash64\(.*?\)", "", x) for x in ranges)
+
+
 def test_ordinal_fit_orders_grades():
     x = [np.array([g, 10 + i % 5], np.int32) for g in range(3) for i in range(40)]
     y = np.repeat(np.arange(3), 40)
