@@ -426,6 +426,16 @@ def test_bpe_equals_the_library(spark, docs):
     assert {r["n_tokens"] for r in out.filter("doc_id IN (1, 2, 3)").collect()} == {0}
 
 
+def test_pieces_share_the_memo_of_words():
+    """A word's letters are encoded once, in whatever case and beside whatever signs they stand; ids are the library's."""
+    encoder, made = bpe.ForcedBoundaryBPE(bpe.vocabulary()), Counter()
+    cuts = encoder.cuts
+    encoder.cuts = lambda piece: made.update([piece]) or cuts(piece)
+    for w in ("unsaidly", "unsaidly,", "Unsaidly", "(unsaidly)", "UNSAIDLY's", "étéréou", "étéréou!", "ÉTÉRÉOU", "x1,y2", "ŸŠſ", "İx", "日本,unsaidly"):
+        assert np.frombuffer(encoder.encode(w.encode()), "<u4").tolist() == encoder.tokenizer.encode(w, add_special_tokens=False).ids, w
+    assert made[b"unsaidly"] <= 2 and made["étéréou".encode()] == 1  # once more for what takes the library's pre-tokenizer
+
+
 def test_memos_are_bounded_in_bytes():
     memo = bpe._Memo(lambda w: w * 2, 10_000)
     for n in (10, 300, 20_000):
