@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import encoder
-from colsieve.llm.common import prepare, utf8
+from colsieve.llm.common import prepare
 from colsieve.session import materialize
 
 
@@ -110,8 +110,8 @@ def pieces(df: DataFrame, path: str, capacity: int, separator: int, id_col: str
         width = 4 * capacity
         for batch in batches:
             row, piece, start, length, crc, rank, ids_out = [], [], [], [], [], [], []
-            for i, raw in enumerate(utf8(batch, "__text")):
-                ids = bpe.encode(raw) + end
+            for i, ids in enumerate(bpe.encode_all(batch.column("__text"))):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     n = len(part) // 4
