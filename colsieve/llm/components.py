@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colsieve.llm.common import map_arrow
 from colsieve.session import materialize
 
 #: Edges that are left from contraction at which one task unites the rest (at most 320 KB).
@@ -63,7 +64,7 @@ def _united(edges: DataFrame) -> DataFrame:
             nodes = list(root)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], ["node", "root"])
 
-    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, root bigint")
+    return map_arrow(edges.select("a", "b").coalesce(1), run, "node bigint, root bigint")
 
 
 def settle(labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import _Memo
-from colsieve.llm.common import key_filter, map_batches, prepare, quoted, utf8, with_filter
+from colsieve.llm.common import held_over, key_filter, map_arrow, map_batches, prepare, quoted, utf8, with_filter
 from colsieve.llm.components import connected_components
 from colsieve.session import materialize
 
@@ -41,16 +41,13 @@ TREES, OWN, DEPTH, MIN_DEPTH = 20, 6, 8, 4
 #: A region with more members or shingles (32 MB) than this is worked on in blocks of about half of it.
 REGION_ROWS, REGION_SHINGLES = 2_000, 4_000_000
 
-_WORD_HASHES: _Memo | None = None
 _POWERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _MULTIPLIERS = (np.random.default_rng(7).integers(0, 1 << 31, TREES * OWN, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    global _WORD_HASHES
-    if _WORD_HASHES is None:
-        _WORD_HASHES = _Memo(xxhash.xxh3_64_intdigest)
-    return np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    memo = held_over("word hashes", lambda: _Memo(xxhash.xxh3_64_intdigest))
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -136,7 +133,7 @@ def forest_links(reps: DataFrame) -> DataFrame:
         if held is not None:
             yield edge(int(held[1][0]), held[2][0], int(held[0][0]))
 
-    found = materialize(ordered.mapInArrow(run, "a bigint, b bigint, depth int, tree int, key binary"), "forest")
+    found = materialize(map_arrow(ordered, run, "a bigint, b bigint, depth int, tree int, key binary"), "forest")
     return materialize(found.filter("tree IS NULL").select("a", "b", "depth").unionAll(_seams(found)).groupBy("a", "b").agg(F.max("depth").alias("depth")), "candidates")
 
 
@@ -241,7 +238,7 @@ def _confirm(rows: DataFrame, bipartite: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in a], pa.int64()), pa.array([ids[k] for k in b], pa.int64())], ["a", "b"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "region", "block").sortWithinPartitions("region", "block", "old", "id").mapInArrow(run, "a bigint, b bigint")
+    return map_arrow(rows.repartition(n, "region", "block").sortWithinPartitions("region", "block", "old", "id"), run, "a bigint, b bigint")
 
 
 def _place(large: DataFrame, links: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import encoder
-from colsieve.llm.common import prepare
+from colsieve.llm.common import map_arrow, prepare
 from colsieve.session import materialize
 
 
@@ -129,7 +129,7 @@ def pieces(df: DataFrame, path: str, capacity: int, separator: int, id_col: str
             if row:
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(ids_out, pa.list_(pa.int64()))] if with_ids else []), names + (["ids"] if with_ids else []))
 
-    return df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return map_arrow(df.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")), run, schema)
 
 
 def pack(df: DataFrame, path: str, capacity: int = 4096, separator: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -164,4 +164,4 @@ def pack(df: DataFrame, path: str, capacity: int = 4096, separator: int = 1, id_
             names = [*keep, "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays(out + ([batch.column("ids")] if with_ids else []), names + (["ids"] if with_ids else []))
 
-    return ranked.mapInArrow(place, schema)
+    return map_arrow(ranked, place, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colsieve.llm.bpe import _Memo
-from colsieve.llm.common import Carried, map_batches, prepare, quoted, utf8
+from colsieve.llm.common import Carried, held_over, map_arrow, map_batches, prepare, quoted, utf8
 from colsieve.session import materialize
 
 BUCKETS = 1 << 21
@@ -38,7 +38,6 @@ PART_BYTES = 16 << 20
 #: A text is kept if its probability of the top grade is at least this.
 KEEP_TAIL = 0.45
 
-_FEATURES: _Memo | None = None
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SIGNS = re.compile(r"[^\w\s.,;:'\"()-]+")
 
@@ -59,13 +58,10 @@ def word_features(word: bytes) -> tuple[int, ...]:
 
 def features(raw: bytes | None) -> np.ndarray:
     """Distinct buckets of a whole text: the presence of each of its word features, and its repetition in steps."""
-    global _FEATURES
-    if _FEATURES is None:
-        _FEATURES = _Memo(word_features)
     words = raw.split() if raw else []
     kinds = set(words)
     found: set[int] = set()
-    found.update(*map(_FEATURES.__getitem__, kinds))
+    found.update(*map(held_over("word features", lambda: _Memo(word_features)).__getitem__, kinds))
     if len(words) >= 20:
         step = int(10 * len(kinds) / len(words))
         if step < 5:
@@ -233,7 +229,7 @@ def _scored(rows: DataFrame, names: list[str], schema: str, model: OrdinalModel)
             tails = own.tails(s)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(s), pa.array(tails.sum(1)), pa.array(tails[:, -1])], [*names, "score", "expected_grade", "tail_prob"])
 
-    return rows.mapInArrow(run, f"{schema}, score double, expected_grade double, tail_prob double")
+    return map_arrow(rows, run, f"{schema}, score double, expected_grade double, tail_prob double")
 
 
 def score(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep_tail: float = KEEP_TAIL) -> DataFrame:

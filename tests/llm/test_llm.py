@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from colsieve.llm import ann, bpe, components, langid, neardup, packing, quality, queries, rules, sharding, suffix_dedup, warc
+from colsieve.llm import ann, bpe, common, components, langid, neardup, packing, quality, queries, rules, sharding, suffix_dedup, warc
 from colsieve.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
@@ -470,6 +470,42 @@ def test_memos_are_bounded_in_bytes():
     assert len(memo) == 0 or max(map(len, memo)) < 10_000
 
 
+def test_workers_drop_what_other_operators_keep(spark):
+    """Each worker of one process pool serves every operator; after a task it holds that one's memos alone."""
+    path = bpe.vocabulary()
+
+    def held(batches):
+        import gc
+
+        for batch in batches:
+            memos = sum(type(x).__name__ in ("_Memo", "ForcedBoundaryBPE") for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([memos])], ["memos"])
+
+    def memos():
+        return {r["memos"] for r in spark.range(0, 4, 1, 4).mapInArrow(held, "memos bigint").collect()}
+
+    df = spark.createDataFrame([(i, words(60, i), "en", "src", 0) for i in range(200)], SCHEMA).repartition(4)
+    bpe.encode_decode(df, path).collect()
+    quality.score(df, quality.OrdinalModel(np.zeros(quality.BUCKETS), np.zeros(2))).collect()
+    neardup.sketches(df, "doc_id", "text").collect()
+    rules.ledger(df.repartition(24)).collect()  # more tasks than workers, which are served in turn
+    assert memos() == {0}
+
+
+def test_a_task_keeps_what_it_asks_for():
+    common.begin_task()
+    first = common.held_over("a", list)
+    assert common.held_over("a", list) is first
+    common.end_task()
+    common.begin_task()
+    assert common.held_over("a", list) is first  # the next task of the same operator goes on with it
+    common.end_task()
+    common.begin_task()
+    common.held_over("b", list)
+    common.end_task()
+    assert "a" not in common._KEPT and "b" in common._KEPT
+
+
 def test_memos_keep_what_is_asked_again():
     made = Counter()
     memo = bpe._Memo(lambda w: made.update([w]) or w * 2, 100_000)
